@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import decontamination, secrets
 from .language_id import language_id
+from .near_dedup import near_duplicates
 from .packing import pack
 from .quality_rules import quality
 from .token_counts import token_counts
+from .toxicity import toxicity
 
 
 def tokenizer(name: str) -> str:
@@ -23,6 +25,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
@@ -50,7 +60,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_language_id, op6_secrets, op7_packing, op8_decontamination, op9_quality_rules, op10_token_counts)}
+    return {f.__name__: f for f in (op2_toxicity, op3_near_dedup, op5_language_id, op6_secrets, op7_packing, op8_decontamination, op9_quality_rules, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
