@@ -43,7 +43,7 @@ def test_document_ids_equal_the_librarys(texts):
     assert [found[k] for k in range(len(texts))] == [[*e.ids, 1] for e in whole]
 
 
-@pytest.mark.parametrize("heavy", [50, 65_536])
+@pytest.mark.parametrize("heavy", [50, 1 << 18])
 def test_counts(spark, small, odd, heavy):
     library = Tokenizer.from_file(BYTE)
     for docs in (small, odd):
@@ -88,3 +88,17 @@ def test_best_fit_takes_the_tightest_and_closes_the_fullest():
     assert bins.put(9) == (3, 0)  # bin 2, the fuller of the open two, was closed
     assert bins.put(4) == (0, 6)
     assert bins.left() == [(3, 9)]
+
+
+def test_distinct_counts(small):
+    """The counts that pick the broadcast pre-tokens."""
+    from collections import Counter
+
+    from tracefold.llm import token_counts as M
+
+    library = pretokens.library(BYTE)
+    want = Counter(t for r in small.select("text").collect() for t in library.pre_tokens(r.text or ""))
+    got = Counter()
+    for r in small.select("text").mapInArrow(M._distinct(BYTE), "token binary, n long").collect():
+        got[bytes(r.token)] += r.n
+    assert got == want

@@ -24,7 +24,7 @@ from . import pretokens, spans
 from .shared import stage
 
 #: Pre-tokens whose counts are broadcast.
-HEAVY = 65_536
+HEAVY = 1 << 18
 #: Distinct pre-tokens a task holds before it hands on its counts.
 HELD = 1 << 18
 
@@ -56,7 +56,7 @@ def _distinct(path: str):
         n = np.zeros(HELD, np.int64)
 
         def flush():
-            out = pa.RecordBatch.from_arrays([pa.array(tokens, pa.binary()), pa.array(n[: len(tokens)])], ["token", "n"])
+            out = pa.RecordBatch.from_arrays([pa.array(tokens, pa.binary()), pa.array(n[: len(tokens)].copy())], ["token", "n"])
             seen.clear(), tokens.clear(), n.fill(0)
             return out
 
@@ -89,27 +89,52 @@ def _pieces(path: str):
 
 
 def _summed(path: str, heavy):
+    """For each row a line with its sum over broadcast pre-tokens, and lists of all others."""
+
     def run(batches):
         table = heavy.value
         for batch in batches:
             text = spans.strings(batch.column(1))
             known = np.zeros(len(text), np.int64)
-            rows, keys, counts = [], [], []
+            rows, keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for row, h, _ in cut(path, text):
                 at, found = table.find(h)
-                known += np.bincount(row[found], table.values[0][at[found]], len(text)).astype(np.int64) if found.any() else 0
+                if found.any():
+                    known += np.bincount(row[found], table.values[0][at[found]], len(text)).astype(np.int64)
                 for out, part in zip((rows, keys, counts), spans.counted(row[~found], h[~found])):
                     out.append(part)
-            row = np.concatenate([np.zeros(0, np.int64), *rows])
+            row = np.concatenate(rows)
             order = np.argsort(row, kind="stable")
-            key = np.concatenate([np.zeros(0, np.uint64), *keys])[order].view(np.int64)
-            n = np.concatenate([np.zeros(0, np.int64), *counts])[order].astype(np.int32)
-            size = np.diff(np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]) if len(text) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(known), *spans.lists(row[order], len(text), key, n)], ["doc_id", "n_bytes", "known", "h", "n"])
+            rest = spans.lists(row[order], len(text), np.concatenate(keys)[order].view(np.int64), np.concatenate(counts)[order].astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes(text)), pa.array(known), *rest], ["doc_id", "n_bytes", "known", "h", "n"])
 
     return run
 
 
+def sizes(text: pa.Array) -> np.ndarray:
+    """Bytes of each string."""
+    if not len(text):
+        return np.zeros(0, np.int64)
+    return np.diff(np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1])
+
+
+def joined(each: DataFrame, values: DataFrame, carried: list[str], sums: dict) -> DataFrame:
+    """Sum the values of every row's listed keys, in one pass over ``each``.
+
+    ``each`` has the ``carried`` columns and the lists h and n.  A row's own line
+    goes through the same join under a key of its own that no value has, so the
+    texts are cut once and nothing is written twice.
+    """
+    numbered = each.withColumn("row", F.monotonically_increasing_id())
+    own = F.array(F.struct(F.lit(None).cast("long").alias("h"), F.lit(None).cast("int").alias("n"), F.lit(True).alias("own")))
+    listed = F.transform(F.arrays_zip("h", "n"), lambda x: F.struct(x["h"].alias("h"), x["n"].alias("n"), F.lit(False).alias("own")))
+    lines = numbered.select("row", *carried, F.explode(F.concat(own, listed)).alias("x"))
+    only_own = [F.when(F.col("x.own"), F.col(c)).alias(c) for c in carried]
+    lines = lines.select("row", *only_own, F.when(F.col("x.own"), F.hash("row").cast("long")).otherwise(F.col("x.h")).alias("h"), "x.n", "x.own")
+    met = lines.join(values.withColumn("own", F.lit(False)), ["h", "own"], "left")
+    return met.groupBy("row").agg(*(F.max(c).alias(c) for c in carried), *(f.alias(n) for n, f in sums.items()))
+
+
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512, heavy: int = HEAVY) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit (n_tokens > ``limit``) of each row of ``docs``."""
     docs = docs.select("doc_id", "text")
@@ -118,14 +143,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512, heavy: int =
     top = pieces.orderBy(F.desc("n"), "h").limit(heavy).select("h", "pieces").toArrow()
     table = docs.sparkSession.sparkContext.broadcast(spans.Lookup(top["h"].to_numpy(), top["pieces"].to_numpy()))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    each = stage(docs.mapInArrow(_summed(tokenizer, table), f"doc_id {kind}, n_bytes long, known long, h array<long>, n array<int>").withColumn("row", F.monotonically_increasing_id()), "pretokens")
-    rest = (
-        each.where(F.size("h") > 0)
-        .select("row", F.explode(F.arrays_zip("h", "n")).alias("x"))
-        .select("row", "x.h", "x.n")
-        .join(pieces.select("h", "pieces"), "h")
-        .groupBy("row")
-        .agg(F.sum(F.col("n") * F.col("pieces")).alias("rest"))
-    )
-    n = F.col("known") + F.coalesce("rest", F.lit(0))
-    return each.select("row", "doc_id", "n_bytes", "known").join(rest, "row", "left").select("doc_id", "n_bytes", n.alias("n_tokens"), (n > limit).alias("over_limit"))
+    each = docs.mapInArrow(_summed(tokenizer, table), f"doc_id {kind}, n_bytes long, known long, h array<long>, n array<int>")
+    found = joined(each, pieces.select("h", "pieces"), ["doc_id", "n_bytes", "known"], {"rest": F.coalesce(F.sum(F.col("n") * F.col("pieces")), F.lit(0))})
+    n = F.col("known") + F.col("rest")
+    return found.select("doc_id", "n_bytes", n.alias("n_tokens"), (n > limit).alias("over_limit"))
