@@ -1,27 +1,84 @@
-"""A corpus pipeline over ``documents``: each stage keeps the columns, the last packs."""
+"""A corpus pipeline over ``documents``.
+
+Texts without a recognisable language go; of each near-duplicate class one
+document stays; documents contaminated by ``benchmark`` go; secrets are
+replaced in the texts that stay; what is left is packed into sequences.  All
+stages but the last return the columns of ``documents``.
+
+Rows are told apart by doc_id and the hash of their text, so null ids and ids
+given twice are handled; rows that are equal in both are one document.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tracefold.llm import decontamination, language_id, near_dedup, secrets
 from tracefold.llm.packing import pack
-from tracefold.llm.queries import tokenizer
+from tracefold.llm.queries import table, tokenizer
+from tracefold.llm.shared import stage
+
+#: Least share of a text's n-grams that its language must have.
+LEAST_SCORE = 0.2
+
+_KEY = "__document"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn(_KEY, F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash")))
+
+
+def _as_documents(keyed: DataFrame) -> DataFrame:
+    return keyed.select(F.col(_KEY).alias("doc_id"), "text")
+
 
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = language_id.learn(docs)
+    found = language_id.identify(docs, model, docs.columns)
+    return found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
 
-def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    keyed = _keyed(docs)
+    kept = near_dedup.near_duplicates(_as_documents(keyed)).where("kept").select(F.col("doc_id").alias(_KEY))
+    return keyed.dropDuplicates([_KEY]).join(kept, _KEY, "left_semi").select(docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    keyed = _keyed(docs)
+    found = decontamination.decontaminate(_as_documents(keyed), table(spark, sf_dir, "benchmark"))
+    return keyed.join(found.where("contaminated").select(F.col("doc_id").alias(_KEY)), _KEY, "left_anti").select(docs.columns)
+
+
+def replace_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    kinds = dict(docs.dtypes)
+    found = secrets.scan(docs, secrets.train(docs), docs.columns)
+    clean = found.withColumn("text", secrets.redacted("text", "spans"))
+    if "n_chars" in kinds:
+        clean = clean.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast(kinds["n_chars"])).otherwise(F.col("n_chars")))
+    return clean.select(docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs, tokenizer("word_bpe_49k.json"))
 
 
-STAGES = [("packing", packing)]
+STAGES = [
+    ("language ID", identify_language),
+    ("near-dedup", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("secret scans", replace_secrets),
+    ("packing", pack_sequences),
+]
 
+#: Near-duplicate classes, the network and token ids have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``, each result written and read again."""
-    from tracefold.llm.shared import stage
-
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, step in STAGES[:-1]:
         docs = stage(step(spark, docs, sf_dir), name.replace(" ", "_"))
     return STAGES[-1][1](spark, docs, sf_dir)
