@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import decontamination, secrets
 from .chat_format import format_chat
@@ -29,7 +30,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = format_chat(table(spark, sf_dir, "conversations"))
-    return found.select("conv_id", "turn", "item", "kind", "position", "depth", "cyclic", "link", "valid", "json")
+    return found.select("conv_id", "turn", "item", "kind", "position", "depth", "cyclic", "link", F.col("valid").cast("string").alias("valid"), "json")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,5 +75,23 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_chat_format, op2_toxicity, op3_near_dedup, op4_lm_scores, op5_language_id, op6_secrets, op7_packing, op8_decontamination, op9_quality_rules, op10_token_counts)}
 
 
+_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = f"regexp_extract_all({_LOWER.format('coalesce(text, {0})')}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')".replace("{0}", "''")
+
+#: The conversations hold no tool calls, so every item is a plain message; calls and results are tested on their own.
+OP1_SQL = """SELECT conv_id, turn, 0 AS item, 'message' AS kind, turn::BIGINT AS position, 0::BIGINT AS depth, false AS cyclic, NULL::VARCHAR AS link, NULL::VARCHAR AS valid,
+ concat('{"content":', to_json(coalesce(text, ''))::VARCHAR, ',"role":', to_json(role)::VARCHAR, '}') AS json FROM conversations"""
+
+OP8_SQL = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents), i AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+ j AS (SELECT item_id, w, least(13, len(w)) AS n FROM i WHERE len(w) > 0),
+ iw AS (SELECT DISTINCT item_id, n, array_to_string(w[k : k + n - 1], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS k FROM j)),
+ dw AS (SELECT r, n, k, array_to_string(w[k : k + n - 1], ' ') AS s FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM j) WHERE len(w) >= n)),
+ m AS (SELECT dw.r, dw.k, dw.n, iw.item_id FROM dw JOIN iw USING (n, s)),
+ h AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS p FROM m) GROUP BY r),
+ t AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM m GROUP BY r)
+ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+ FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_chat_format": OP1_SQL, "op8_decontamination": OP8_SQL}
