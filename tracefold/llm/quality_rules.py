@@ -35,8 +35,8 @@ _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 MEASURES = {
     "symbol_share": ("n_symbols / greatest(word_chars, 1)", 0.02, False),
     "word_length": ("word_chars / greatest(n_words, 1)", 1.0, True),
-    "dup_line_share": ("n_dup_lines / greatest(n_lines, 1)", 0.05, False),
-    "repeat_share": ("n_repeat_words / greatest(n_words, 1)", 0.02, False),
+    "dup_line_share": ("n_dup_lines / greatest(n_lines, 1)", 0.1, False),
+    "repeat_share": ("n_repeat_words / greatest(n_words, 1)", 0.05, False),
 }
 
 
