@@ -407,6 +407,93 @@ def windowed_patterns(spark, sf_dir):
     return windowed(logs(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")), "1 hour").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
+_FIELDS = """concat('{"Authorization":"<redacted>","api-token":"<redacted>","note":', to_json(concat(event_type, ' order=<id> from <ip>'))::VARCHAR, ',"size":', event_id % 100, ',"user_id":"<redacted>"}')"""
+
+
+@query(f"SELECT event_id, {_FIELDS} AS fields FROM events")
+def sanitized_fields(spark, sf_dir):
+    """T4: sensitive names redacted, texts normalised, nested values dropped."""
+    text = F.concat(F.lit('"'), "event_type", F.lit(" order="), "event_id", F.lit(' from 10.0.0.7"'))
+    fields = F.create_map(F.lit("Authorization"), F.lit('"Basic x"'), F.lit("api-token"), F.lit("1"), F.lit("nested"), F.col("props"), F.lit("note"), text, F.lit("size"), (F.col("event_id") % 100).cast("string"), F.lit("user_id"), F.col("user_id").cast("string"))
+    clean = table(spark, sf_dir, "events").select("event_id", T.sanitized(fields).alias("f"))
+    pairs = F.transform(F.array_sort(F.map_entries("f")), lambda e: F.concat(F.lit('"'), e["key"], F.lit('":'), e["value"]))
+    return clean.select("event_id", F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}")).alias("fields"))
+
+
+@query("WITH t AS (SELECT DISTINCT doc_id, lower(unnest(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_.$:-]{2,}'))) AS term FROM documents) SELECT term, count(*) AS documents FROM t GROUP BY term HAVING count(*) >= 5")
+def message_terms(spark, sf_dir):
+    """Identifiers in texts."""
+    t = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.terms(F.col("text"))).alias("term")).distinct()
+    return t.groupBy("term").agg(F.count("*").alias("documents")).where("documents >= 5")
+
+
+def _quality_sql() -> str:
+    from .quality import EVIDENCE, SCENARIOS
+
+    quoted = lambda v: "'" + v + "'"
+    s = ", ".join(f"({quoted(a)}, {quoted(b)})" for a, b in SCENARIOS)
+    e = ", ".join("(" + ", ".join(map(quoted, row)) + ")" for row in EVIDENCE)
+    form = lambda c: f"replace(replace({c}, '{{0}}', key), '{{1}}', scenario)"
+    return f"SELECT scenario, kind, {form('id')} AS id, {form('description')} AS description, source, {form('query_ref')} AS query_ref FROM (VALUES {s}) s(scenario, key), (VALUES {e}) e(kind, id, description, source, query_ref)"
+
+
+@query(_quality_sql())
+def quality_scenarios(spark, sf_dir):
+    """The expected evidence of the eight scenarios."""
+    from .quality import scenarios
+
+    return scenarios(spark)
+
+
+_KIND = "CASE doc_id % 6 " + " ".join(f"WHEN {k} THEN '{kind}'" for k, kind in enumerate(("first_failure", "rare_precursor", "root_cause", "code_reference", "metric_anomaly", "deployment_retention"))) + " END"
+
+
+@query(
+    f"""WITH x AS (SELECT source AS scenario, {_KIND} AS kind, cast(doc_id AS varchar) AS id, doc_id IN (SELECT doc_id FROM labels) OR doc_id % 5 < 4 AS kept FROM documents),
+ k AS (SELECT scenario, kind, bool_and(kept) AS whole, count(*) FILTER (NOT kept) AS lost FROM x GROUP BY ALL)
+ SELECT scenario, count(*) FILTER (whole) AS whole_kinds, sum(lost)::BIGINT AS missing, CASE WHEN count(*) FILTER (whole) + sum(lost) = 0 THEN 1.0 ELSE count(*) FILTER (whole) / (count(*) FILTER (whole) + sum(lost)) END::DOUBLE AS recall, sum(lost) = 0 AND count(*) FILTER (whole) = 6 AS passed FROM k GROUP BY scenario"""
+)
+def scenario_recall(spark, sf_dir):
+    """Recall and verdict of each scenario (here: each source of the documents)."""
+    from .quality import KINDS, recall
+
+    docs = table(spark, sf_dir, "documents")
+    kind = F.element_at(F.array(*(F.lit(k) for k in ("first_failure", "rare_precursor", "root_cause", "code_reference", "metric_anomaly", "deployment_retention"))), (F.col("doc_id") % 6 + 1).cast("int"))
+    expected = docs.select(F.col("source").alias("scenario"), kind.alias("kind"), F.col("doc_id").cast("string").alias("id"))
+    labelled = docs.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
+    kept = labelled.union(docs.where("doc_id % 5 < 4")).select(F.col("source").alias("scenario"), F.col("doc_id").cast("string").alias("id"))
+    found = recall(expected, kept)
+    whole = sum((F.col(k).cast("int") for k in KINDS), F.lit(0))
+    return found.select("scenario", whole.cast("long").alias("whole_kinds"), F.size("missing").cast("long").alias("missing"), F.col("recall").cast("double").alias("recall"), "passed")
+
+
+def _built(spark, sf_dir):
+    from .snapshot import Request, build
+
+    e = logs(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    split = F.lit(SPLIT).cast("timestamp")
+    return build(Request("shop", BUDGET, e.where(F.col("ts") >= split), e.where(F.col("ts") < split), 3600, 3600))
+
+
+@query()
+def incident_snapshot(spark, sf_dir):
+    """The snapshot's sections as JSON."""
+    import json
+
+    s = _built(spark, sf_dir).to_dict()
+    return spark.createDataFrame([(k, json.dumps(v, sort_keys=True, ensure_ascii=False)) for k, v in sorted(s.items())], "section string, json string")
+
+
+@query()
+def disclosure_account(spark, sf_dir):
+    """What each level shows of each section within 2,000 tokens."""
+    from .disclosure import disclose
+
+    s = _built(spark, sf_dir).to_dict()
+    rows = [(level, o["kind"], o["requested"], o["applied"], o["budgetSpent"]) for level in ("L0", "L1", "L2") for o in disclose(s, level, 2_000)["state"]["operations"]]
+    return spark.createDataFrame(rows, "level string, kind string, requested int, applied int, budget_spent int")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
