@@ -24,7 +24,7 @@ def odd(spark):
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame(ODD, DOCUMENTS).repartition(3)
-    return df.withColumns({c: F.lit("clash") for c in ("h", "n", "row", "rows", "score", "sequence", "band", "known", "class_id")})
+    return df.withColumns({c: F.lit("clash") for c in ("h", "n", "row", "rows", "score", "sequence", "band", "known", "class_id", "size")})
 
 
 @pytest.fixture(scope="session")

@@ -23,9 +23,10 @@ Classes are the connected components of all links.
    of ``sub_rows`` places a link of 0.8 is lost there once in 10,000 buckets,
    and it meets in several.
 
-With 30 bands of 5 places a pair of similarity 0.8 meets in no band once in
-150,000 pairs.  No pairs within a bucket are made, only a line to its centre
-and pairs of components.
+With 30 bands of 5 places a pair of similarity 0.8 meets in two bands or more
+but for one pair in 10,000; components and texts that meet in one band only, or
+whose sizes rule a similarity of 0.8 out, are not compared.  No pairs within a
+bucket are made, only a line to its centre and pairs of components.
 
 Edge cases: null texts and texts without words are classes of their own; null
 doc_id is carried; equal rows are of one class; an empty table gives an empty
@@ -46,6 +47,8 @@ from .shared import stage
 
 SHINGLE, SIMILAR = 5, 0.8
 SLOTS, ROWS = 150, 5
+#: Bands in which two texts have to meet; of those with similarity 0.8 one pair in 10,000 meets in fewer.
+MEETINGS = 2
 #: Members of a component in one block of comparisons.
 BLOCK = 128
 #: Bits of the filter that picks the texts to verify, and elements in one product.
@@ -124,11 +127,12 @@ def _signed(slots: int):
     def run(batches):
         for batch in batches:
             text = spans.strings(batch.column(1))
-            sig = [pa.array([], pa.binary())]
+            sig, size = [pa.array([], pa.binary())], [np.zeros(0, np.int32)]
             for _, data, offsets in spans.blocks(text):
-                lines = signatures(len(offsets) - 1, *spans.counted(*shingles(data, offsets)), slots)
-                sig.append(pa.array([x.tobytes() for x in lines], pa.binary()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([text_key(t) for t in text.to_pylist()], pa.binary()), pa.concat_arrays(sig)], ["doc_id", "key", "sig"])
+                row, h, w = spans.counted(*shingles(data, offsets))
+                sig.append(pa.array([x.tobytes() for x in signatures(len(offsets) - 1, row, h, w, slots)], pa.binary()))
+                size.append(np.bincount(row, w, len(offsets) - 1).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([text_key(t) for t in text.to_pylist()], pa.binary()), pa.concat_arrays(sig), pa.array(np.concatenate(size))], ["doc_id", "key", "sig", "size"])
 
     return run
 
@@ -258,20 +262,21 @@ def near_duplicates(docs: DataFrame, least: float = SIMILAR, slots: int = SLOTS,
     """doc_id, class_id (the class's least doc_id), class_size, and kept: true for one row of each class."""
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    signed = stage(docs.mapInArrow(_signed(slots), f"doc_id {kind}, key binary, sig binary").withColumn("row", F.monotonically_increasing_id()), "signed")
+    signed = stage(docs.mapInArrow(_signed(slots), f"doc_id {kind}, key binary, sig binary, size int").withColumn("row", F.monotonically_increasing_id()), "signed")
     texts = stage(signed.where(F.length("key") > 0).groupBy("key").agg(F.min("row").alias("node"), F.count("*").alias("copies")), "texts")
-    nodes = signed.join(texts.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "sig")
 
-    bytes_of = lambda first, n: F.expr(f"substring(sig, {first}, {n})")
-    keys = F.array(*(F.xxhash64(F.lit(k), bytes_of(4 * rows * k + 1, 4 * rows)) for k in range(slots // rows)))
-    bands = nodes.select("node", F.posexplode(keys).alias("band", "b"))
+    keys = F.array(*(F.xxhash64(F.lit(k), F.expr(f"substring(sig, {4 * rows * k + 1}, {4 * rows})")) for k in range(slots // rows)))
+    nodes = signed.select(F.col("row").alias("node"), "size", keys.alias("keys")).join(texts.select("node"), "node", "left_semi")
+    bands = nodes.select("node", "size", F.posexplode("keys").alias("band", "b"))
     shared = bands.groupBy("b").agg(F.count("*").alias("g")).where("g > 1")
     mates = stage(bands.join(shared, "b"), "mates")
-    degree = mates.groupBy("node").agg(F.sum(F.col("g") - 1).alias("degree"))
+    # similar texts meet in several bands, so a node with mates in one band only has no link
+    degree = mates.groupBy("node").agg(F.sum(F.col("g") - 1).alias("degree"), F.count("*").alias("met")).where(F.col("met") >= MEETINGS)
     mates = stage(mates.join(degree, "node"), "degrees")
-    centre = mates.groupBy("b").agg(F.max(F.struct("degree", (-F.col("node")).alias("minus"))).alias("top"))
-    best = mates.join(centre, "b").where("node != -top.minus").groupBy("node").agg(F.max("top").alias("top")).select(F.col("node"), (-F.col("top.minus")).alias("grp"))
-    guests = stage(best, "centres")
+    centre = mates.groupBy("b").agg(F.max(F.struct("degree", (-F.col("node")).alias("minus"), F.col("size").alias("of"))).alias("top"))
+    near_size = (F.col("size") >= least * F.col("top.of")) & (F.col("top.of") >= least * F.col("size"))
+    best = mates.join(centre, "b").where((F.col("node") != -F.col("top.minus")) & near_size).groupBy("node").agg(F.max("top").alias("top"))
+    guests = stage(best.select("node", (-F.col("top.minus")).alias("grp")), "centres")
 
     involved = texts.join(mates.select("node").distinct(), "node", "left_semi").select("key", "node")
     bits = docs.sparkSession.sparkContext.broadcast(_key_filter(involved.select("key")))
@@ -279,19 +284,23 @@ def near_duplicates(docs: DataFrame, least: float = SIMILAR, slots: int = SLOTS,
 
     first = stage(compare(guests.select("grp", F.col("grp").alias("node")).distinct(), guests, elements, least), "links")
     comps = components(first)
-    labelled = stage(mates.select("node", "band", "b").join(comps, "node", "left").select("node", "band", "b", F.coalesce("comp", "node").alias("comp")), "labelled")
+    labelled = stage(mates.select("node", "size", "band", "b").join(comps, "node", "left").select("node", "size", "band", "b", F.coalesce("comp", "node").alias("comp")), "labelled")
     mixed = labelled.groupBy("b").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.approx_count_distinct("comp").alias("n")).where("low < high").select("b", "n")
     left = labelled.join(mixed, "b")
     places = lambda s: F.concat(*(F.substring("sig", F.pmod((F.col("band") + 1) * rows + s * sub_rows + k, F.lit(slots)) * 4 + 1, F.lit(4)) for k in range(sub_rows)))
-    crowded = left.where(F.col("n") > large).join(nodes, "node").select("comp", F.explode(F.array(*(F.xxhash64("b", F.lit(s), places(s)) for s in range(sub_bands)))).alias("b"))
-    meeting = stage(left.where(F.col("n") <= large).select("comp", "b").union(crowded).distinct(), "meeting")
-    members = labelled.select("node", "comp").distinct()
-    sizes = members.groupBy("comp").agg(F.count("*").alias("size"))
-    sized = meeting.join(sizes, "comp")
-    pairs = sized.alias("x").join(sized.alias("y"), "b").where("struct(x.size, x.comp) > struct(y.size, y.comp)").select(F.col("x.comp").alias("grp"), F.col("y.comp").alias("comp")).distinct()
-    pairs = stage(pairs, "pairs")
-    hosts = pairs.select("grp").distinct().join(members.withColumnRenamed("comp", "grp"), "grp").select("grp", "node")
-    visitors = pairs.join(members, "comp").select("grp", "node")
+    crowded = left.where(F.col("n") > large).join(signed.select(F.col("row").alias("node"), "sig"), "node")
+    crowded = crowded.select("comp", "band", F.explode(F.array(*(F.xxhash64("b", F.lit(s), places(s)) for s in range(sub_bands)))).alias("b"))
+    meeting = left.where(F.col("n") <= large).select("comp", "band", "b").union(crowded).distinct()
+    members = labelled.select("node", "size", "comp").distinct()
+    sizes = members.groupBy("comp").agg(F.count("*").alias("n"), F.min("size").alias("low"), F.max("size").alias("high"))
+    sized = stage(meeting.join(sizes, "comp"), "meeting")
+    x, y = sized.alias("x"), sized.alias("y")
+    fits = (F.col("x.high") >= least * F.col("y.low")) & (F.col("y.high") >= least * F.col("x.low"))
+    met = x.join(y, "b").where(F.expr("struct(x.n, x.comp) > struct(y.n, y.comp)") & fits).select(F.col("x.comp").alias("grp"), F.col("y.comp").alias("comp"), F.col("x.band").alias("band")).distinct()
+    pairs = stage(met.groupBy("grp", "comp").agg(F.count("*").alias("met")).where(F.col("met") >= MEETINGS), "pairs")
+    of = members.select("comp", "node")
+    hosts = pairs.select("grp").distinct().join(of.withColumnRenamed("comp", "grp"), "grp").select("grp", "node")
+    visitors = pairs.join(of, "comp").select("grp", "node")
     second = stage(compare(hosts, visitors, elements, least), "links")
     classes = components(first.select("a", "b").union(second.select("a", "b")))
 
