@@ -269,29 +269,31 @@ def near_duplicates(docs: DataFrame, least: float = SIMILAR, slots: int = SLOTS,
     nodes = signed.select(F.col("row").alias("node"), "size", keys.alias("keys")).join(texts.select("node"), "node", "left_semi")
     bands = nodes.select("node", "size", F.posexplode("keys").alias("band", "b"))
     shared = bands.groupBy("b").agg(F.count("*").alias("g")).where("g > 1")
-    mates = stage(bands.join(shared, "b"), "mates")
     # similar texts meet in several bands, so a node with mates in one band only has no link
-    degree = mates.groupBy("node").agg(F.sum(F.col("g") - 1).alias("degree"), F.count("*").alias("met")).where(F.col("met") >= MEETINGS)
-    mates = stage(mates.join(degree, "node"), "degrees")
+    met = bands.join(shared, "b").groupBy("node", "size").agg(F.sum(F.col("g") - 1).alias("degree"), F.collect_list(F.struct("band", "b")).alias("meets"))
+    linked = stage(met.where(F.size("meets") >= MEETINGS), "mates")
+    mates = linked.select("node", "size", "degree", F.explode("meets").alias("at")).select("node", "size", "degree", "at.b")
     centre = mates.groupBy("b").agg(F.max(F.struct("degree", (-F.col("node")).alias("minus"), F.col("size").alias("of"))).alias("top"))
     near_size = (F.col("size") >= least * F.col("top.of")) & (F.col("top.of") >= least * F.col("size"))
     best = mates.join(centre, "b").where((F.col("node") != -F.col("top.minus")) & near_size).groupBy("node").agg(F.max("top").alias("top"))
     guests = stage(best.select("node", (-F.col("top.minus")).alias("grp")), "centres")
 
-    involved = texts.join(mates.select("node").distinct(), "node", "left_semi").select("key", "node")
+    involved = texts.join(linked.select("node"), "node", "left_semi").select("key", "node")
     bits = docs.sparkSession.sparkContext.broadcast(_key_filter(involved.select("key")))
     elements = stage(docs.select("text").mapInArrow(_elements(bits), "key binary, elements binary").dropDuplicates(["key"]).join(involved, "key").select("node", "elements"), "elements")
 
     first = stage(compare(guests.select("grp", F.col("grp").alias("node")).distinct(), guests, elements, least), "links")
     comps = components(first)
-    labelled = stage(mates.select("node", "size", "band", "b").join(comps, "node", "left").select("node", "size", "band", "b", F.coalesce("comp", "node").alias("comp")), "labelled")
+    of_comp = stage(linked.select("node", "size", "meets").join(comps, "node", "left").select("node", "size", "meets", F.coalesce("comp", "node").alias("comp")), "labelled")
+    labelled = of_comp.select("node", "comp", F.explode("meets").alias("at")).select("node", "comp", "at.band", "at.b")
     mixed = labelled.groupBy("b").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.approx_count_distinct("comp").alias("n")).where("low < high").select("b", "n")
     left = labelled.join(mixed, "b")
     places = lambda s: F.concat(*(F.substring("sig", F.pmod((F.col("band") + 1) * rows + s * sub_rows + k, F.lit(slots)) * 4 + 1, F.lit(4)) for k in range(sub_rows)))
-    crowded = left.where(F.col("n") > large).join(signed.select(F.col("row").alias("node"), "sig"), "node")
+    crowded = left.where(F.col("n") > large).groupBy("node", "comp").agg(F.collect_list(F.struct("band", "b")).alias("meets"))
+    crowded = crowded.join(signed.select(F.col("row").alias("node"), "sig"), "node").select("comp", "sig", F.explode("meets").alias("at")).select("comp", "sig", "at.band", "at.b")
     crowded = crowded.select("comp", "band", F.explode(F.array(*(F.xxhash64("b", F.lit(s), places(s)) for s in range(sub_bands)))).alias("b"))
     meeting = left.where(F.col("n") <= large).select("comp", "band", "b").union(crowded).distinct()
-    members = labelled.select("node", "size", "comp").distinct()
+    members = of_comp.select("node", "size", "comp")
     sizes = members.groupBy("comp").agg(F.count("*").alias("n"), F.min("size").alias("low"), F.max("size").alias("high"))
     sized = stage(meeting.join(sizes, "comp"), "meeting")
     x, y = sized.alias("x"), sized.alias("y")
