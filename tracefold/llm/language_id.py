@@ -51,7 +51,8 @@ def fold(doc_id: str | Column, parts: int) -> Column:
 
 def ngrams(column: pa.Array):
     """(first row, rows, row, key) of all n-grams, block by block; digits and marks are blanks."""
-    for first, data, offsets in spans.blocks(pc.utf8_lower(spans.strings(column))):
+    # an n-gram takes some hundred bytes while it is counted
+    for first, data, offsets in spans.blocks(pc.utf8_lower(spans.strings(column)), spans.BLOCK_BYTES // 4):
         n_rows = len(offsets) - 1
         padded = np.insert(_CHAR[data], offsets, 32)
         row = np.repeat(np.arange(n_rows + 1), np.append(np.diff(offsets), 0) + 1)
@@ -170,16 +171,15 @@ def identify(docs: DataFrame, model: Filter, carried: list[str] | None = None) -
     """The ``carried`` columns of each row (doc_id by default) with lang_pred and score."""
     carried = carried or ["doc_id"]
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    table, at = spans.with_text(docs, carried)
 
     def run(batches):
         for batch in batches:
-            lang, score = shared.value.predict(batch.column(0))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(lang, pa.string()), pa.array(score)], [*batch.schema.names[1:], "lang_pred", "score"])
+            lang, score = shared.value.predict(batch.column(at))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(carried)], pa.array(lang, pa.string()), pa.array(score)], [*batch.schema.names[: len(carried)], "lang_pred", "score"])
 
-    names = [f"c{k}" for k in range(len(carried))]
-    table = docs.select(F.col("text").alias("t"), *(F.col(c).alias(n) for c, n in zip(carried, names)))
-    schema = ", ".join([*(f"{n} {docs.schema[c].dataType.simpleString()}" for c, n in zip(carried, names)), "lang_pred string, score double"])
-    return table.mapInArrow(run, schema).select(*(F.col(n).alias(c) for c, n in zip(carried, names)), "lang_pred", "score")
+    found = table.mapInArrow(run, ", ".join([*(f"c{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(carried)), "lang_pred string, score double"]))
+    return found.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(carried)), "lang_pred", "score")
 
 
 def language_id(docs: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once; a longer single text is a block of its own.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 
 _U = np.uint64
 _P = 0x9E3779B97F4A7C15
@@ -134,6 +134,14 @@ def lists(row: np.ndarray, n_rows: int, *values: np.ndarray) -> list[pa.Array]:
     return [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in values]
 
 
+def with_text(docs, carried: list[str]):
+    """The carried columns as c0, c1, ... with the text among or behind them, once; and the text's place."""
+    from pyspark.sql import functions as F
+
+    columns = carried if "text" in carried else [*carried, "text"]
+    return docs.select(*(F.col(c).alias(f"c{k}") for k, c in enumerate(columns))), columns.index("text")
+
+
 class Lookup:
     """Values by 64-bit key in two sorted arrays; what a broadcast of fixed size holds."""
 
