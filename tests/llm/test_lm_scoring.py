@@ -54,6 +54,15 @@ def test_bigrams_help_held_out_texts(spark):
     assert sum(r.score for r in got) > 0.75 * sum(r.base_score for r in got)
 
 
+def test_every_bigram_of_the_corpus_counts(small):
+    """What the broadcasts cannot hold is joined: their sizes change no score."""
+    got = [{r.doc_id: r for r in M.lm_scores(small, **o).collect()} for o in ({}, {"most_bits": 1 << 19, "vocabulary": 200}, {"heavy": 100, "vocabulary": 50})]
+    for other in got[1:]:
+        for k, r in got[0].items():
+            assert abs(r.score - other[k].score) <= 0.003 * abs(r.score)
+            assert r.base_score <= 0 and abs(r.base_score - other[k].base_score) <= 1e-9 * abs(r.base_score)
+
+
 def test_filter_has_every_count_and_few_false_ones():
     rng = np.random.default_rng(0)
     key, n = rng.integers(0, 1 << 62, 20_000).astype(np.uint64), rng.integers(2, 5000, 20_000)

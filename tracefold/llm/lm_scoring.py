@@ -4,19 +4,25 @@ Tokens are the words between white space, A-Z lower-cased, and one end behind
 each text.  Unigram counts are exact: the ``heavy`` most frequent tokens are
 broadcast (a fixed number of entries), all others are joined by a hash shuffle.
 
-Bigrams of the ``vocabulary`` most frequent tokens are counted over all training
-texts.  Their counts, quantised by factors of the square root of two, are held
-in a blocked Bloom filter: a bigram of level q is put in once for each level up
-to q, and a lookup probes level after level until one is missing, which gives
+All bigrams are counted over all training texts, by the pair of their tokens'
+ranks (of frequent tokens) or hashes (of all others).  Counts of two and more are
+quantised by factors of the square root of two.  Where both tokens are of the
+``vocabulary`` most frequent, the most frequent bigrams are held in a blocked
+Bloom filter that is broadcast: a bigram of level q is put in once for each level
+up to q, and a lookup probes level after level until one is missing, which gives
 the largest level that may be there; false hits can only raise a count.  The
-filter has at most ``most_bits`` bits and takes bigrams from the most frequent
-down (to twice at least) while each entry has 16 bits or more, so its size is
-bounded and its error rate known.  It is built in pieces, each from the bigrams
-whose blocks lie in it, and the whole is broadcast.
-
-P(w | h) = a(h) c(h, w) / c(h) + (1 - a(h)) (c(w) + 1) / (N + V + 1).  The weight
-a(h) depends on the size of c(h) and is fitted by expectation maximisation on
-about ``aside`` training texts whose bigrams were not counted.
+filter has at most ``most_bits`` bits and takes whole levels from the top down
+while each entry has 16 bits or more; a lookup under its least level is a miss.
+It is built in pieces, each from the bigrams whose blocks lie in it.
+
+No bigram is dropped: all that the filter does not hold are joined by a shuffle.
+P(w | h) = a(h) c(h, w) / c(h) + (1 - a(h)) (c(w) + 1) / (N + V + 1), so a text's
+score is the sum of its tokens' own parts, log (1 - a) (c + 1) / (N + V + 1) (each
+token is a history once), and of log (1 + a(h) c(h, w) / c(h) / ((1 - a(h)) P(w)))
+for each bigram.  One join brings both, in one shuffle with the
+rare tokens' counts; no key can be hot, as the frequent ones are in the broadcasts.
+The weight a(h) depends on the size of c(h) and is fitted by expectation
+maximisation on about ``aside`` training texts whose bigrams were not counted.
 
 Edge cases: null text is empty, its end alone; rows without doc_id are scored
 but not learned from; with nothing to learn from every token has the same
@@ -39,9 +45,10 @@ from .token_counts import joined
 HEAVY, VOCABULARY = 1 << 18, 1 << 16
 MOST_BITS, ENTRY_BITS, BLOCK_BITS, PIECE_BITS, PROBES = 1 << 27, 16, 512, 1 << 19, 8
 #: Keys a task holds before it hands on its counts.
-HELD = 1 << 22
+HELD, HELD_PAIRS = 1 << 22, 3 << 20
 
 _U = np.uint64
+SIGN = _U(1 << 63)
 END = spans.mix(np.array([0xE0F], _U))[0]
 _BUCKETS = 40
 
@@ -89,12 +96,57 @@ def _unigrams(column):
     return (h for _, _, h in tokens(column))
 
 
-def pairs(rank: np.ndarray, offsets: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each token's history (the end before the first), and where both are of the vocabulary the bigram's key."""
-    before = np.roll(rank, 1)
-    before[offsets[:-1]] = rank[offsets[1:] - 1]
-    both = np.flatnonzero((rank < vocabulary) & (before < vocabulary))
-    return before, both, (before[both].astype(_U) << _U(32)) | rank[both].astype(_U)
+def identities(known: spans.Lookup, h: np.ndarray) -> np.ndarray:
+    """The rank of each known token, a negative number made of its hash for any other."""
+    at, found = known.find(h)
+    return np.where(found, known.values[1][at] if len(known.keys) else 0, (h | SIGN).view(np.int64))
+
+
+def histories(of: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """What stands before each token: the end before the first."""
+    before = np.roll(of, 1)
+    before[offsets[:-1]] = of[offsets[1:] - 1]
+    return before
+
+
+def pair_key(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return spans.mix(h.view(_U) + spans.mix(w.view(_U)))
+
+
+def _pairs(shared):
+    """(h, w, n, m) of a task's bigrams: how often in texts that count, and in those set aside."""
+
+    def run(batches):
+        held, size = [], 0
+
+        def merged():
+            h, w, n, m = (np.concatenate(x) for x in zip(*held)) if held else np.zeros((4, 0), np.int64)
+            key = pair_key(h, w)
+            order = np.argsort(key)
+            key = key[order]
+            at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+            first = order[at]
+            return h[first], w[first], *(np.add.reduceat(x[order], at) if len(at) else x for x in (n, m))
+
+        def batch_of(h, w, n, m):
+            return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (h, w, n, m)], ["h", "w", "n", "m"])
+
+        for batch in batches:
+            aside = batch.column(1).to_numpy(zero_copy_only=False)
+            for first, offsets, hashes in tokens(batch.column(0)):
+                w = identities(shared.value, hashes)
+                apart = np.repeat(aside[first : first + len(offsets) - 1], np.diff(offsets)).astype(np.int32)
+                held.append((histories(w, offsets), w, 1 - apart, apart))
+                size += len(w)
+                if size > HELD_PAIRS:
+                    held = [merged()]
+                    size = len(held[0][0])
+                    if size > HELD_PAIRS // 2:
+                        yield batch_of(*held[0])
+                        held, size = [], 0
+        yield batch_of(*merged())
+
+    return run
 
 
 class Filter:
@@ -103,6 +155,7 @@ class Filter:
     def __init__(self, bits: int, table: np.ndarray | None = None):
         self.blocks = bits // BLOCK_BITS
         self.table = np.zeros(bits // 64, _U) if table is None else table
+        self.least = 1  # of the levels that are held
 
     @staticmethod
     def level(n: np.ndarray) -> np.ndarray:
@@ -146,12 +199,17 @@ class Filter:
                 hit = (self.table[block[alive] * 8 + (bit >> _U(6)).astype(np.int64)] >> (bit & _U(63))) & _U(1) > 0
                 alive, x = alive[hit], x[hit]
             out[alive] = q
-        return self.value(out)
+        return self.value(np.where(out >= self.least, out, 0))
+
+
+def _level(n: str):
+    """``Filter.level`` as a column."""
+    return F.floor(2 * F.log2(n) + 1e-9).cast("long") - 1
 
 
 def build_filter(grams: DataFrame, most_bits: int) -> Filter:
     """From (key, n), the most frequent first."""
-    level = F.floor(2 * F.log2("n") + 1e-9).cast("long") - 1
+    level = _level("n")
     sizes = grams.groupBy(level.alias("level")).agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect()
     total, least = 0, 10**9
     for r in sizes:
@@ -161,6 +219,7 @@ def build_filter(grams: DataFrame, most_bits: int) -> Filter:
     bits = min(most_bits, max(PIECE_BITS, 1 << int(total * ENTRY_BITS).bit_length()))
     blocks, per_piece = bits // BLOCK_BITS, PIECE_BITS // BLOCK_BITS
     found = Filter(bits)
+    found.least = least
 
     def placed(batches):
         for batch in batches:
@@ -188,30 +247,57 @@ class Model:
         self.by_rank = np.zeros(len(rank) + 1)
         self.by_rank[rank] = counts
 
+    def counts(self, of: np.ndarray) -> np.ndarray:
+        """How often each known token occurs, zero for others."""
+        return np.where(of >= 0, self.by_rank[np.maximum(of, 0)], 0)
+
+    def single(self, count):
+        return (count + 1) / (self.n + self.v + 1)
+
     def look(self, h: np.ndarray, offsets: np.ndarray):
-        """For each token: known, its unigram probability, its history's bucket, and the bigram's relative count."""
-        at, found = self.known.find(h)
-        none = len(self.known.keys)
-        count, rank = (np.where(found, v[at] if none else 0, miss) for v, miss in zip(self.known.values, (0, none)))
-        before, both, key = pairs(rank, offsets, min(self.vocabulary, none))
-        share = np.zeros(len(h))
-        share[both] = self.bigrams.counts(key) / np.maximum(1, self.by_rank[before[both]])
-        history = np.where(before < min(self.vocabulary, none), self.by_rank[np.minimum(before, none)], 0)
-        bucket = np.minimum(_BUCKETS - 1, np.floor(np.log2(np.maximum(1, history))).astype(np.int64) + (history > 0))
-        return found, (count + 1) / (self.n + self.v + 1), bucket, np.minimum(1, share)
-
-    def fit(self, bucket: np.ndarray, share: np.ndarray, single: np.ndarray, rounds: int = 30) -> None:
-        """Weights by bucket of the history's count; bucket 0 is a history outside the vocabulary."""
+        """For each token: known, its own and its bigram's part of the score, the unigram's log; and which bigrams the filter does not hold, with keys."""
+        w = identities(self.known, h)
+        before, found = histories(w, offsets), w >= 0
+        base = np.where(found, np.log10(self.single(self.counts(w))), 0)
+        count = self.counts(before)
+        a = self.weights[bucket_of(count)]
+        # a rare token's own part is joined later, as is that of its being a history
+        logs = base + np.where(before >= 0, np.log10(1 - a), 0)
+        both = np.flatnonzero((np.minimum(w, before) >= 0) & (np.maximum(w, before) < self.vocabulary))
+        n = np.zeros(len(h))
+        n[both] = self.bigrams.counts((before[both].astype(_U) << _U(32)) | w[both].astype(_U))
+        hit = np.flatnonzero(n)
+        share = np.minimum(1, n[hit] / count[hit])
+        logs[hit] += np.log10(1 + a[hit] * share / ((1 - a[hit]) * self.single(self.counts(w[hit]))))
+        # a known history of weight 0 makes nothing of its bigrams
+        rest = np.flatnonzero((n == 0) & ((before < 0) | (a > 0)))
+        return found, logs, base, rest, pair_key(before[rest], w[rest])
+
+    def fit(self, bucket: np.ndarray, share: np.ndarray, single: np.ndarray, times: np.ndarray, rounds: int = 30) -> None:
+        """Weights by bucket of the history's count, from lines that occur so many ``times``; bucket 0 is a history that was not seen."""
         self.weights[1:] = 0.3
-        n = np.bincount(bucket, minlength=_BUCKETS)
+        n = np.bincount(bucket, times, _BUCKETS)
         for _ in range(rounds):
             a = self.weights[bucket]
             part = a * share / np.maximum(a * share + (1 - a) * single, 1e-300)
-            self.weights = np.where(n > 0, np.bincount(bucket, part, _BUCKETS) / np.maximum(1, n), self.weights)
+            self.weights = np.where(n > 0, np.bincount(bucket, times * part, _BUCKETS) / np.maximum(1, n), self.weights)
         self.weights[n < 20] = 0
         self.weights[0] = 0
         self.weights = np.minimum(self.weights, 0.95)
 
+    def weight(self, count):
+        """Column: the weight of a history that occurs so often."""
+        return F.element_at(F.array(*(F.lit(float(x)) for x in self.weights)), _bucket(count) + 1)
+
+
+def bucket_of(count: np.ndarray) -> np.ndarray:
+    return np.minimum(_BUCKETS - 1, np.floor(np.log2(np.maximum(1, count))).astype(np.int64) + (count > 0))
+
+
+def _bucket(count):
+    """``bucket_of`` as a column."""
+    return F.least(F.lit(_BUCKETS - 1), (F.floor(F.log2(F.greatest(F.lit(1), count))) + (count > 0).cast("int")).cast("int"))
+
 
 def _frequent(counts: DataFrame, heavy: int) -> spans.Lookup:
     top = counts.orderBy(F.desc("n"), "key").limit(heavy).select("key", "n").toArrow()
@@ -223,45 +309,61 @@ def _frequent(counts: DataFrame, heavy: int) -> spans.Lookup:
 
 
 def learn(docs: DataFrame, heavy: int = HEAVY, vocabulary: int = VOCABULARY, most_bits: int = MOST_BITS, aside: int = 400) -> tuple[DataFrame, Model]:
-    """The table of unigram counts (key, n), and the model, from all of ``docs``."""
+    """The joined part (h, c of a token, more of a bigram that the filter does not hold), and the model, from all of ``docs``."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     counts = stage(docs.select("text").mapInArrow(_summed(_unigrams), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "unigrams")
     sizes = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     known = _frequent(counts, heavy)
     shared = spark.sparkContext.broadcast(known)
-
-    def bigrams(column):
-        table = shared.value
-        for _, offsets, h in tokens(column):
-            at, found = table.find(h)
-            rank = np.where(found, table.values[1][at] if len(table.keys) else 0, len(table.keys))
-            yield pairs(rank, offsets, min(vocabulary, len(table.keys)))[2]
-
     share = min(0.05, aside / max(1, docs.count()))
     is_aside = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20)) < share * (1 << 20)
-    grams = stage(docs.where(~is_aside).select("text").mapInArrow(_summed(bigrams), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n >= 2"), "bigrams")
-    model = Model(known, build_filter(grams, most_bits), vocabulary, sizes.n or 0, sizes.v)
-    again = spark.sparkContext.broadcast(model)
-
-    def looked(batches):
-        for batch in batches:
-            for _, offsets, h in tokens(batch.column(0)):
-                _, single, bucket, part = again.value.look(h, offsets)
-                # one line for each bucket and pair of probabilities, to three digits
-                lines = np.stack((bucket, np.round(np.log(np.maximum(part, 1e-12)), 1), np.round(np.log(single), 1)))
-                u, n = np.unique(lines, axis=1, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(u[0].astype(np.int64)), pa.array(u[1]), pa.array(u[2]), pa.array(n)], ["bucket", "part", "single", "n"])
-
-    seen = docs.where(is_aside).select("text").mapInArrow(looked, "bucket long, part double, single double, n long").groupBy("bucket", "part", "single").agg(F.sum("n").cast("long").alias("n")).toArrow()
+    each = docs.select("text", is_aside.alias("aside")).mapInArrow(_pairs(shared), "h long, w long, n long, m long")
+    grams = stage(each.groupBy("h", "w").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).where("n >= 2 or m > 0"), "bigrams")
+
+    within = F.least("h", "w").between(0, vocabulary - 1) & F.greatest("h", "w").between(0, vocabulary - 1)
+    held = build_filter(grams.where(within & (F.col("n") >= 2)).select((F.shiftleft("h", 32) + F.col("w")).alias("key"), "n"), most_bits)
+    model = Model(known, held, vocabulary, sizes.n or 0, sizes.v)
+    part = F.when(F.col("n") >= 2, F.least(F.lit(1.0), F.pow(F.lit(2.0), (_level("n") + 1) / 2) / F.col("ch"))).otherwise(0.0)
+    single = (F.col("cw") + 1) / F.lit(float(model.n + model.v + 1))
+
+    # one line for each bucket and pair of probabilities, to one digit of their logs
+    lines = [_bucket(F.col("ch")).alias("bucket"), F.round(F.log(F.greatest(part, F.lit(1e-12))), 1).alias("part"), F.round(F.log(single), 1).alias("single")]
+    seen = _with_counts(grams.where("m > 0"), counts, shared).groupBy(*lines).agg(F.sum("m").alias("m")).toArrow()
     if len(seen):
-        n = seen["n"].to_numpy()
-        part = np.exp(seen["part"].to_numpy())
-        model.fit(*(np.repeat(x, np.minimum(n, 1_000_000)) for x in (seen["bucket"].to_numpy(), np.where(part > 2e-12, part, 0), np.exp(seen["single"].to_numpy()))))
-    return counts, model
+        bucket, share, one, times = (c.to_numpy() for c in seen.columns)
+        model.fit(bucket, np.where(share > -27.5, np.exp(share), 0), np.exp(one), times)
 
+    a = model.weight(F.col("ch"))
+    rest = _with_counts(grams.where((F.col("n") >= 2) & ~(within & (_level("n") >= held.least))), counts, shared)
+    more = rest.where(a > 0).select(F.col("key").alias("h"), F.lit(None).cast("long").alias("c"), F.log10(1 + a * part / ((1 - a) * single)).alias("more"))
+    return counts.select(F.col("key").alias("h"), F.col("n").alias("c"), F.lit(None).cast("double").alias("more")).unionByName(more), model
 
-def score(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
+
+def _with_counts(grams: DataFrame, counts: DataFrame, shared) -> DataFrame:
+    """Bigrams with their key, and the counts ch and cw of both tokens; those of rare tokens are joined."""
+
+    def run(batches):
+        known = shared.value
+        by_rank = np.zeros(len(known.keys) + 1, np.int64)
+        by_rank[known.values[1]] = known.values[0]
+        for batch in batches:
+            h, w = (batch.column(k).to_numpy() for k in (0, 1))
+            c = [pa.array(by_rank[np.maximum(x, 0)], mask=x < 0) for x in (h, w)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pair_key(h, w).view(np.int64)), *c], ["h", "w", "n", "m", "key", "ch", "cw"])
+
+    of = lambda t: t.select("h", "w", "n", "m").mapInArrow(run, "h long, w long, n long, m long, key long, ch long, cw long")
+    some_rare = F.least("h", "w") < 0
+    rare = of(grams.where(some_rare))
+    for side in ("h", "w"):
+        # a known token's line goes anywhere, under a number that no rare token has
+        rare = rare.withColumn("at", F.when(F.col(side) < 0, F.col(side)).otherwise(F.shiftrightunsigned("key", 1)))
+        other = counts.select(F.col("key").bitwiseOR(F.lit(-(1 << 63))).alias("at"), F.col("n").alias("c"))
+        rare = rare.join(other, "at", "left").withColumn(f"c{side}", F.coalesce(f"c{side}", "c")).drop("at", "c")
+    return of(grams.where(~some_rare)).unionByName(rare)
+
+
+def score(docs: DataFrame, values: DataFrame, model: Model) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score and score of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -274,35 +376,38 @@ def score(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
             for first, offsets, h in tokens(batch.column(1)):
                 n_rows = len(offsets) - 1
                 row = np.repeat(np.arange(n_rows), np.diff(offsets))
-                found, single, bucket, part = model.look(h, offsets)
-                a = model.weights[bucket]
-                # a rare token's own probability is joined later, its history's share is known here
-                logs = np.log10(np.where(found, a * part + (1 - a) * single, 1 - a))
-                base = np.where(found, np.log10(single), 0)
+                found, logs, base, rest, pair = model.look(h, offsets)
                 at = slice(first, first + n_rows)
                 for out, x in ((size[0], None), (size[1], found.astype(float)), (sums[0], base), (sums[1], logs)):
                     out[at] = np.bincount(row, x, n_rows)
-                r, k, n = spans.counted(row[~found], h[~found])
-                rows.append(first + r), keys.append(k), ns.append(n)
+                # bigrams have negative numbers
+                words, others = spans.counted(row[~found], h[~found]), spans.counted(row[rest], pair)
+                r = np.concatenate((words[0], others[0]))
+                order = np.argsort(r, kind="stable")
+                rows.append(first + r[order])
+                keys.append(np.concatenate((words[1], others[1]))[order])
+                ns.append(np.concatenate((words[2], -others[2]))[order])
             row = np.concatenate(rows)
             rest = spans.lists(row, batch.num_rows, np.concatenate(keys).view(np.int64), np.concatenate(ns).astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, (*size, *sums)), *rest], ["doc_id", "n_tokens", "known", "base", "logs", "h", "n"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     each = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, known long, base double, logs double, h array<long>, n array<int>")
-    c = F.coalesce("c", F.lit(0))
+    n, c = F.col("n"), F.coalesce("c", F.lit(0))
+    one = F.log10((c + 1) / F.lit(float(model.n + model.v + 1)))
     sums = {
-        "rest_known": F.coalesce(F.sum(F.when(c > 0, F.col("n"))), F.lit(0)),
-        "rest": F.coalesce(F.sum(F.col("n") * F.log10((c + 1) / F.lit(float(model.n + model.v + 1)))), F.lit(0.0)),
+        "rest_known": F.coalesce(F.sum(F.when((n > 0) & (c > 0), n)), F.lit(0)),
+        "rest": F.coalesce(F.sum(F.when(n > 0, n * one)), F.lit(0.0)),
+        "more": F.coalesce(F.sum(F.when(n > 0, n * (one + F.log10(1 - model.weight(c)))).when(n < 0, -n * F.coalesce("more", F.lit(0.0)))), F.lit(0.0)),
     }
-    found = joined(each, counts.select(F.col("key").alias("h"), F.col("n").alias("c")), ["doc_id", "n_tokens", "known", "base", "logs"], sums)
-    return found.select("doc_id", "n_tokens", (F.col("known") + F.col("rest_known")).alias("n_known"), (F.col("base") + F.col("rest")).alias("base_score"), (F.col("logs") + F.col("rest")).alias("score"))
+    found = joined(each, values, ["doc_id", "n_tokens", "known", "base", "logs"], sums)
+    return found.select("doc_id", "n_tokens", (F.col("known") + F.col("rest_known")).alias("n_known"), (F.col("base") + F.col("rest")).alias("base_score"), (F.col("logs") + F.col("more")).alias("score"))
 
 
 def lm_scores(docs: DataFrame, **options) -> DataFrame:
     """The scores of every row with held_out and train_tokens, learned from the rows that are not held out."""
     held = fold("doc_id", 7) == 2
-    counts, model = learn(docs.where(~held), **options)
-    return score(docs, counts, model).select(
+    values, model = learn(docs.where(~held), **options)
+    return score(docs, values, model).select(
         "doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score"
     )
