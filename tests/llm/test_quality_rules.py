@@ -51,6 +51,24 @@ def test_thresholds_follow_the_group(spark):
     assert all(got.values())
 
 
+def test_each_measure_rejects_what_passes_the_base_rule(spark):
+    """In a source of little spread every measure drops its outlier; one repeated line is no outlier."""
+    word = lambda k: "abcdefghijklmnopqrstuvwxyz"[k % 26] + f"{k % 10_000:04d}"
+    line = lambda k, n=10: " ".join(word(31 * k + j) for j in range(n))
+    lines = lambda k: [line(k * 40 + j) for j in range(20)]
+    docs = {k: "\n".join(lines(k)) for k in range(300)}
+    passage, short = "one two three four five", [f"ab{j}" for j in range(7)]
+    docs[1000] = "\n".join(line(k) + f" {passage}" * (k < 6) for k in range(18))  # 15 % repeated words
+    docs[1001] = "\n".join(lines(1) + short + short)  # repeated lines
+    docs[1002] = " ".join("abcdefghijklmnopqrstuvwxyz"[k % 26] + str(k % 10) for k in range(130))  # short words
+    docs[1003] = " ".join(f"{k:012d}" for k in range(200))  # long words
+    docs[1004] = " ".join(f"#{k:03d}%" if k % 3 else f"{k:05d}" for k in range(200))  # symbols
+    docs[1005] = "\n".join([*lines(2), lines(2)[0]])
+    got = {r.doc_id: r for r in quality(spark.createDataFrame([(k, t, "en", "a") for k, t in docs.items()], "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert [k for k in sorted(got) if not got[k].kept] == [1000, 1001, 1002, 1003, 1004]
+
+
 def test_small_and_broadcast_groups_agree(small):
     a = quality(small, hot=1).orderBy("doc_id").collect()
     b = quality(small, hot=10**9).orderBy("doc_id").collect()

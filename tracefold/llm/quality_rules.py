@@ -5,7 +5,9 @@ KLL quantile sketches, one set for each (lang, source), for each lang and for
 all rows; a group of fewer than ``least`` rows uses its language's, and a small
 language all rows'.  A document is dropped when a measure lies further from its
 group's quartiles than ``reach`` times their distance, which is taken as the
-measure's ``grain`` at least.
+measure's ``grain`` at least.  One repetition is the step in which repeats are
+counted, so repeated lines and words are judged beyond one repeated line and one
+repeated passage (its two places); the counts and the base rule take all.
 
 Groups with more than 1/``hot`` of all rows (at most ``hot`` of them) have their
 thresholds broadcast; the other groups' thresholds are joined by a shuffle, in
@@ -34,14 +36,14 @@ _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 #: Measure, least distance of its quartiles that counts, and whether low values are judged too.
 MEASURES = {
     "symbol_share": ("n_symbols / greatest(word_chars, 1)", 0.02, False),
-    "word_length": ("word_chars / greatest(n_words, 1)", 1.0, True),
-    "dup_line_share": ("n_dup_lines / greatest(n_lines, 1)", 0.1, False),
-    "repeat_share": ("n_repeat_words / greatest(n_words, 1)", 0.05, False),
+    "word_length": ("word_chars / greatest(n_words, 1)", 0.25, True),
+    "dup_line_share": ("greatest(n_dup_lines - 1, 0) / greatest(n_lines, 1)", 0.025, False),
+    "repeat_share": ("n_more_repeats / greatest(n_words, 1)", 0.01, False),
 }
 
 
-def measure(text: str) -> tuple[int, int, int, int, int, int]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and the number of lines with a word."""
+def measure(text: str) -> tuple[int, int, int, int, int, int, int]:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, the number of lines with a word, and the repeated words beyond one repetition."""
     words = text.encode().split()
     seen: set[str] = set()
     lines = dup = 0
@@ -51,31 +53,38 @@ def measure(text: str) -> tuple[int, int, int, int, int, int]:
             dup += line in seen
             seen.add(line)
     chars = len(text) - sum(text.count(c) for c in _BLANKS)
-    return len(words), chars, sum(text.count(c) for c in _SYMBOLS), dup, repeated_words(words), lines
+    return len(words), chars, sum(text.count(c) for c in _SYMBOLS), dup, sum(runs := repeated_runs(words)), lines, sum(sorted(runs)[:-2])
 
 
 def repeated_words(words: list[bytes], n: int = 5) -> int:
     """Words inside a window of ``n`` words that occurs twice or more."""
+    return sum(repeated_runs(words, n))
+
+
+def repeated_runs(words: list[bytes], n: int = 5) -> list[int]:
+    """The lengths of the passages that such windows cover."""
     first: dict[tuple, int] = {}
     hit: set[int] = set()
     for at, window in enumerate(zip(*(words[k:] for k in range(n)))):
         if (before := first.setdefault(window, at)) != at:
             hit.add(at)
             hit.add(before)
-    if not hit:
-        return 0
-    ends = covered = 0
+    runs: list[int] = []
+    ends = -1
     for at in sorted(hit):
-        covered += at + n - max(at, ends)
+        if at <= ends:
+            runs[-1] += at + n - ends
+        else:
+            runs.append(n)
         ends = at + n
-    return covered
+    return runs
 
 
 def _measured(batches):
     for batch in batches:
         rows = [measure(t or "") for t in batch.column(1).to_pylist()]
-        columns = np.array(rows, np.int64).reshape(-1, 6).T
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(c)) for c in columns), batch.column(2), batch.column(3)], ["doc_id", *_COUNTS, "n_lines", "lang", "source"])
+        columns = np.array(rows, np.int64).reshape(-1, 7).T
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(c)) for c in columns), batch.column(2), batch.column(3)], ["doc_id", *_COUNTS, "n_lines", "n_more_repeats", "lang", "source"])
 
 
 def _bounds(measured: DataFrame, keys: list[str], reach: float) -> DataFrame:
@@ -93,7 +102,7 @@ def quality(docs: DataFrame, reach: float = 4.0, least: int = 200, hot: int = 25
     """doc_id, the counts, base_failed and kept of each row of ``docs``."""
     docs = docs.select("doc_id", "text", "lang", "source")
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    raw = docs.mapInArrow(_measured, f"doc_id {kinds['doc_id']}, {', '.join(f'{c} long' for c in _COUNTS)}, n_lines long, lang {kinds['lang']}, source {kinds['source']}")
+    raw = docs.mapInArrow(_measured, f"doc_id {kinds['doc_id']}, {', '.join(f'{c} long' for c in _COUNTS)}, n_lines long, n_more_repeats long, lang {kinds['lang']}, source {kinds['source']}")
     measured = stage(raw.withColumns({m: F.expr(e).cast("double") for m, (e, _, _) in MEASURES.items()}), "measured")
 
     words = measured.where("n_words > 0")
