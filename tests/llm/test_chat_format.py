@@ -90,3 +90,11 @@ def test_sample_and_empty(spark):
     want = {(r.conv_id, r.turn, json.dumps({"content": r.text, "role": r.role}, separators=(",", ":"), ensure_ascii=False)) for r in messages.collect()}
     assert {(r.conv_id, r.turn, r.json) for r in got.collect()} == want
     assert C.format_chat(messages.limit(0)).count() == 0
+
+
+def test_no_keyword_is_passed_over():
+    for schema, good, bad in (({"const": 1}, 1, True), ({"allOf": [{"minimum": 2}]}, 2, 1), ({"exclusiveMinimum": 2}, 3, 2), ({"exclusiveMaximum": 2}, 1, 2), ({"multipleOf": 0.1}, 0.3, 0.25), ({"minItems": 1}, [1], []), ({"maxItems": 1}, [1], [1, 2]), ({"uniqueItems": True}, [1, True], [1, 1.0])):
+        assert C.problems(good, schema) == [] and len(C.problems(bad, schema)) == 1
+        assert not C.undecided(schema)
+    for key in ("pattern", "anyOf", "oneOf", "not", "$ref"):
+        assert C.undecided({"properties": {"a": {"items": {key: 1}}}})

@@ -18,7 +18,10 @@ conversation is gathered in one task.
 
 Arguments are validated against the tool's schema (the conversation's own, else
 the ``tools`` given): type, properties, required, additionalProperties, enum,
-items, minimum, maximum, minLength, maxLength.
+const, allOf, items, minimum, maximum, exclusiveMinimum, exclusiveMaximum,
+multipleOf, minLength, maxLength, minItems, maxItems, uniqueItems.  Where a schema
+has any other keyword that may refuse a value, arguments without a problem are
+neither valid nor not: null.
 
 Edge cases: a null text is an empty message; null conv_id, turn or role are
 carried; text that begins like JSON but isn't is a plain message; repeated rows
@@ -30,6 +33,7 @@ from __future__ import annotations
 
 import json
 import math
+from fractions import Fraction
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -49,6 +53,11 @@ _TYPES = {
 }
 
 
+#: Keywords that are checked, and those that refuse nothing.
+_CHECKED = {"type", "properties", "required", "additionalProperties", "enum", "const", "allOf", "items", "minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "multipleOf", "minLength", "maxLength", "minItems", "maxItems", "uniqueItems"}
+_NOTES = {"title", "description", "default", "examples", "deprecated", "readOnly", "writeOnly", "$schema", "$id", "$comment", "$defs", "definitions", "format"}
+
+
 def canonical(value) -> str:
     """Sorted keys, no spaces, characters as they are; whole floats as integers; no NaN."""
 
@@ -77,6 +86,18 @@ def problems(value, schema, at: str = "$") -> list[str]:
         return [f"{at}: type"]
     if "enum" in schema and value not in schema["enum"]:
         out.append(f"{at}: enum")
+    if "const" in schema and canonical(value) != canonical(schema["const"]):
+        out.append(f"{at}: const")
+    for one in schema["allOf"] if isinstance(schema.get("allOf"), list) else []:
+        out += problems(value, one, at)
+    more = ()
+    if _TYPES["number"](value):
+        more = (("exclusiveMinimum", lambda b: value <= b), ("exclusiveMaximum", lambda b: value >= b), ("multipleOf", lambda b: b > 0 and Fraction(str(value)) % Fraction(str(b)) != 0))
+    elif isinstance(value, list):
+        more = (("minItems", lambda b: len(value) < b), ("maxItems", lambda b: len(value) > b))
+        if schema.get("uniqueItems") is True and len({canonical(v) for v in value}) < len(value):
+            out.append(f"{at}: uniqueItems")
+    out += [f"{at}: {rule}" for rule, bad in more if _TYPES["number"](schema.get(rule)) and bad(schema[rule])]
     if _TYPES["number"](value):
         out += [f"{at}: {rule}" for rule, bad in (("minimum", lambda b: value < b), ("maximum", lambda b: value > b)) if _TYPES["number"](schema.get(rule)) and bad(schema[rule])]
     if isinstance(value, str):
@@ -91,6 +112,8 @@ def problems(value, schema, at: str = "$") -> list[str]:
         for k, v in sorted(value.items()):
             if k in known:
                 out += problems(v, known[k], f"{at}.{k}")
+            elif "patternProperties" in schema:
+                continue  # whether a pattern takes it is not checked
             elif schema.get("additionalProperties") is False:
                 out.append(f"{at}.{k}: additionalProperties")
             else:
@@ -98,6 +121,16 @@ def problems(value, schema, at: str = "$") -> list[str]:
     return out
 
 
+def undecided(schema) -> bool:
+    """Whether a schema, or one inside it, has a keyword that is not checked."""
+    if not isinstance(schema, dict):
+        return False
+    inner = [schema.get("items"), schema.get("additionalProperties")]
+    inner += schema["properties"].values() if isinstance(schema.get("properties"), dict) else []
+    inner += schema["allOf"] if isinstance(schema.get("allOf"), list) else []
+    return bool(set(schema) - _CHECKED - _NOTES) or any(undecided(x) for x in inner)
+
+
 def _object(text: str | None) -> dict | None:
     if not text or not text.lstrip()[:1] == "{":
         return None
@@ -146,10 +179,10 @@ def _parsed(batches):
 
 
 def _valid(batches):
-    """The problems of each call's arguments; null without a schema."""
+    """The problems of each call's arguments; null without a schema, or where none is found but not all is checked."""
     for batch in batches:
         arguments, schema = batch.column("arguments").to_pylist(), batch.column("schema").to_pylist()
-        found = [None if s is None else problems(json.loads(a), json.loads(s)) for a, s in zip(arguments, schema)]
+        found = [None if s is None else problems(json.loads(a), json.loads(s)) or (None if undecided(json.loads(s)) else []) for a, s in zip(arguments, schema)]
         yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("item"), pa.array(found, pa.list_(pa.string()))], ["row", "item", "problems"])
 
 
