@@ -21,15 +21,22 @@ REDACTIONS = (
 # Field names that are redacted, and parts of names.
 SENSITIVE_KEYS = ("authorization", "cookie", "password", "secret", "token", "access_token", "refresh_token", "api_key", "user_id", "email", "trace_id", "span_id", "request_id", "correlation_id", "session_id")
 SENSITIVE_PARTS = ("password", "secret", "token")
+# Words that mark a name or a value as secret.
+SECRET_WORDS = ("token", "secret", "password", "authorization", "cookie", "apikey", "api_key")
 # Severities by rank; unknown ones rank 1.
 SEVERITY_RANKS = {"FATAL": 5, "CRITICAL": 4, "ERROR": 3, "WARN": 2, "WARNING": 2, "INFO": 1, "DEBUG": 0}
 PROTECTED = ("FATAL", "CRITICAL", "ERROR")
 
+# Line ends, the head of a stack trace, its frames, and (below) the parts of frames and ids that are replaced.
 _LINE_ENDS = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]"
 _EXCEPTION = r"(?U)^([A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*(?:Exception|Error))(?::|$)"
 _FRAME = r'(?U)^\s*(?:(?:at\s+|Caused by:).+|File\s+"[^"]+",\s+line\s+\d+)'
 
 
+def looks_secret(text: str) -> bool:
+    return any(word in text.lower() for word in SECRET_WORDS)
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
@@ -101,21 +108,31 @@ def _frame(line: Column) -> Column:
     return normalize_message(numbered)
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often it is used there."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def stack(message: Column) -> Column:
     """Struct of fingerprint, type, frames (20 at most) and template; null for what is no stack trace."""
-    lines = F.filter(F.split(message, _LINE_ENDS), lambda x: x.rlike(r"(?U)\S"))
-    head = strip(F.try_element_at(lines, F.lit(1)))
-    kind = F.regexp_extract(head, _EXCEPTION, 1)
-    frames = F.transform(F.filter(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: x.rlike(_FRAME)), _frame)
-    template = F.regexp_replace(normalize_message(head), r"(?U)\b\d{2,}\b", "<id>")
-    found = F.struct(
-        short_hash("STACK-", 16, kind, F.array_join(frames, "\0")).alias("fingerprint"),
-        kind.alias("type"),
-        F.slice(frames, 1, 20).alias("frames"),
-        template.alias("template"),
-    )
+
+    def parts(lines: Column) -> Column:
+        head = strip(F.try_element_at(lines, F.lit(1)))
+        frames = F.filter(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: x.rlike(_FRAME))
+        return F.struct(head.alias("head"), F.regexp_extract(head, _EXCEPTION, 1).alias("type"), F.transform(frames, _frame).alias("frames"))
+
+    def whole(p: Column) -> Column:
+        found = F.struct(
+            short_hash("STACK-", 16, p["type"], F.array_join(p["frames"], "\0")).alias("fingerprint"),
+            p["type"].alias("type"),
+            F.slice(p["frames"], 1, 20).alias("frames"),
+            F.regexp_replace(normalize_message(p["head"]), r"(?U)\b\d{2,}\b", "<id>").alias("template"),
+        )
+        return F.when((p["type"] != "") & (F.size(p["frames"]) > 0), found)
+
     # one line cannot be a stack, and most messages have one
-    return F.when(message.rlike(_LINE_ENDS) & (kind != "") & (F.size(frames) > 0), found)
+    lines = F.filter(F.split(message, _LINE_ENDS), lambda x: x.rlike(r"(?U)\S"))
+    return F.when(message.rlike(_LINE_ENDS), _let(_let(lines, parts), whole))
 
 
 def template(message: Column, stack_column: Column) -> Column:

@@ -67,10 +67,12 @@ def correlated_refs(enriched: DataFrame, groups: DataFrame) -> DataFrame:
 
 def correlation_summary(enriched: DataFrame, groups: DataFrame) -> DataFrame:
     """Coverage of all events, confidence weighted by events, and its level."""
-    covered = correlated_refs(enriched, groups).select("seq").distinct().agg(F.count("*").alias("correlated_events"))
-    total = enriched.agg(F.count("*").alias("total_events"))
-    weight = groups.agg(F.sum(F.col("confidence") * F.col("event_count")).alias("weighted"), F.sum("event_count").alias("n"))
-    one = total.crossJoin(covered).crossJoin(weight)
+    refs = enriched.select("seq", F.explode("ids").alias("x")).select("seq", T.correlation_ref(F.col("x.id_type"), F.col("x.value")).alias("correlation_ref"))
+    covered = refs.join(groups.select("correlation_ref"), "correlation_ref", "left_semi").select("seq").distinct()
+    counts = enriched.agg(F.count("*").alias("total_events")).select("total_events", F.lit(0).cast("long").alias("correlated_events"), F.lit(0.0).alias("weighted"), F.lit(0).cast("long").alias("n"))
+    counts = counts.union(covered.agg(F.lit(0).cast("long"), F.count("*"), F.lit(0.0), F.lit(0).cast("long")))
+    counts = counts.union(groups.agg(F.lit(0).cast("long"), F.lit(0).cast("long"), F.sum(F.col("confidence") * F.col("event_count")), F.sum("event_count")))
+    one = counts.agg(*(F.sum(c).alias(c) for c in counts.columns))
     score = F.round(F.coalesce(F.try_divide("weighted", "n"), F.lit(0.0)), 4)
     return one.select(
         "total_events", "correlated_events", F.round(F.coalesce(F.try_divide("correlated_events", "total_events"), F.lit(0.0)), 4).alias("coverage"), score.alias("confidence"),
@@ -78,10 +80,17 @@ def correlation_summary(enriched: DataFrame, groups: DataFrame) -> DataFrame:
     )
 
 
-def pattern_entries(patterns: DataFrame, enriched: DataFrame, groups: DataFrame) -> DataFrame:
-    """Timeline entries of log patterns with the refs of their events."""
-    refs = correlated_refs(enriched, groups).select("fingerprint", "correlation_ref").distinct().groupBy("fingerprint").agg(F.array_sort(F.collect_list("correlation_ref")).alias("refs"))
-    return patterns.join(refs, "fingerprint", "left").select(
+def pattern_refs(patterns: DataFrame, enriched: DataFrame, groups: DataFrame) -> DataFrame:
+    """(fingerprint, correlation_ref), once each, of these patterns; a hot pattern has as many rows as there are groups."""
+    return correlated_refs(enriched.join(patterns.select("fingerprint"), "fingerprint", "left_semi"), groups).select("fingerprint", "correlation_ref").distinct()
+
+
+def pattern_entries(patterns: DataFrame, refs: DataFrame | None = None) -> DataFrame:
+    """Timeline entries of log patterns, with lists of the refs of their events if ``refs`` (``pattern_refs``) are given."""
+    listed = patterns.withColumn("refs", F.array().cast("array<string>"))
+    if refs is not None:
+        listed = patterns.join(refs.groupBy("fingerprint").agg(F.array_sort(F.collect_list("correlation_ref")).alias("refs")), "fingerprint", "left")
+    return listed.select(
         F.col("first_seen").alias("timestamp"), F.lit("log_pattern").alias("kind"), F.when(F.size("services") == 1, F.element_at("services", 1)).otherwise("multiple").alias("service"),
         F.substring("template", 1, 240).alias("summary"), "fingerprint", F.lit(None).cast("string").alias("version"),
         F.create_map(F.lit("count"), F.col("count").cast("string"), F.lit("severity"), F.concat(F.lit('"'), "severity", F.lit('"'))).alias("metadata"),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..staging import stage
 
 
 def enrich(events: DataFrame) -> DataFrame:
@@ -16,12 +17,17 @@ def enrich(events: DataFrame) -> DataFrame:
     return out.withColumn("fingerprint", T.pattern_id(F.col("template"), F.col("severity"))).withColumn("ids", T.correlation_ids(F.col("message"), fields))
 
 
-def escalations(events: DataFrame, bucket: str = "hour") -> DataFrame:
+def staged(events: DataFrame) -> DataFrame:
+    """Enriched events without their messages, written once for all operators that read them."""
+    return stage(enrich(events).drop("message"), "events")
+
+
+def escalations(events: DataFrame, bucket: str = "minute") -> DataFrame:
     """How often a severity is higher than the one before, over all events by time.
 
     Neighbours are compared inside time buckets; the first event of a bucket is
     compared with the last of the bucket before it, from a table of one row for
-    each bucket.
+    each bucket that has events.
     """
     ranked = events.select("ts", "seq", T.severity_rank(F.upper(F.coalesce("severity", F.lit("")))).alias("rank")).withColumn("bucket", F.date_trunc(bucket, "ts"))
     place = F.struct("ts", "seq")

@@ -27,6 +27,20 @@ def metric_anomalies(samples: DataFrame, keys: list[str], z_threshold: float = 3
     return stats.withColumn("score", score).where(~(F.col("score") < z_threshold)).select(*keys, "score", F.when(up, "up").otherwise("down").alias("direction"), "seen")
 
 
+def incident_anomalies(found: DataFrame) -> DataFrame:
+    """Anomalies as a snapshot takes them; ``found`` has metric, labels, score, direction, first_seen and last_seen.
+
+    The service is the first of the labels service, app and job that is there; its hash with the metric names the anomaly.
+    """
+    label = lambda k: F.nullif(F.try_element_at("labels", F.lit(k)), F.lit(""))
+    up = F.col("direction") == "up"
+    out = found.withColumn("service", F.coalesce(label("service"), label("app"), label("job"), F.lit("unknown")))
+    return out.select(
+        T.short_hash("MA-", 16, F.col("metric"), F.col("service")).alias("id"), "metric", "service", F.when(up, "SPIKE").otherwise("DROP").alias("state"), F.lit(None).cast("double").alias("baseline"),
+        F.when(up, F.col("score")).otherwise(-F.col("score")).alias("peak"), F.col("first_seen").alias("start"), F.col("last_seen").alias("peak_at"), F.lit("point-deviation").alias("shape"), "labels",
+    )
+
+
 def baseline_and_peak(samples: DataFrame, keys: list[str]) -> DataFrame:
     """Mean of all samples but the last, and the sample furthest from it; the first one of equals."""
     last = samples.groupBy(*keys).agg(F.max("ord").alias("last_ord"))
@@ -57,7 +71,7 @@ def top_infrastructure(groups: DataFrame, most: int = 20) -> DataFrame:
 
 
 def label_cardinality(labels: DataFrame, warn_at: int = 10, critical_at: int = 100) -> DataFrame:
-    """Labels with many or risky values; ``labels`` has key and value, one row for each series.
+    """Labels with many or risky values, critical ones first, then by falling number; ``labels`` has key and value, one row for each series.
 
     Values are made distinct before they are counted, and three examples come
     from a ranking that stops at three, so no set of values is collected.
@@ -69,7 +83,12 @@ def label_cardinality(labels: DataFrame, warn_at: int = 10, critical_at: int = 1
     risky = F.col("key").isin(*RISKY_LABELS) | F.col("digests")
     level = F.when((F.col("unique_values") >= critical_at) | (risky & (F.col("unique_values") >= warn_at)), "critical").when((F.col("unique_values") >= warn_at) | risky, "warn")
     reason = F.when(risky, "high cardinality label").otherwise("many unique label values")
-    return counts.withColumn("severity", level).where("severity is not null").join(examples, "key").select(F.col("key").alias("label"), "unique_values", "severity", reason.alias("reason"), "examples")
+    out = counts.withColumn("severity", level).where("severity is not null").join(examples, "key").select(F.col("key").alias("label"), "unique_values", "severity", reason.alias("reason"), "examples")
+    return out.orderBy(*cardinality_order())
+
+
+def cardinality_order() -> list:
+    return [F.col("severity") != "critical", F.desc("unique_values"), F.col("label")]
 
 
 def evidence_recall(expected: DataFrame, retained: DataFrame) -> DataFrame:

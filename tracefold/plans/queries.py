@@ -6,6 +6,7 @@ cluster events and as labels; ``documents`` as messages to redact.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import correlate, events, patterns, signals
+from ..staging import placed, shared_dir, stage
 
 #: Where the incident begins; events before it are the baseline.
 SPLIT = "2024-01-16"
@@ -41,11 +43,11 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Errors as stack traces, all else as it is."""
-    e = logs(spark, sf_dir)
+    """Errors as stack traces, all else as it is; each service has evidence of its own."""
+    e = logs(spark, sf_dir).withColumn("evidence", F.struct(F.lit("loki").alias("source"), F.concat(F.lit("Q-"), "service").alias("queryRef"), F.lit("a").alias("start"), F.lit("b").alias("end")))
     trace = F.concat(
         F.lit("com.shop.Kind"), F.col("seq") % 3, F.lit("Exception: order="), "seq", F.lit(" failed after 1234 ms\n    at com.shop.Cart.add(Cart.java:"), F.col("seq") % 97,
-        F.lit(")\n\n  at com.shop.Pay.run"), F.col("seq") % 2, F.lit("(Pay.java:12)\n  ... 3 more\nCaused by: id="), F.col("seq") % 5, F.lit(" lost"),
+        F.lit(")\n\n  at com.shop.Pay.run"), F.when(F.col("seq") % 3 == 0, 0).otherwise(F.col("seq") % 2), F.lit("(Pay.java:12)\n  ... 3 more\nCaused by: id="), F.col("seq") % 5, F.lit(" lost"),
     )
     return e.withColumn("message", F.when(F.col("severity") == "ERROR", trace).otherwise(F.col("message")))
 
@@ -80,7 +82,8 @@ def query(sql: str | None = None):
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return patterns.discover(events.enrich(logs(spark, sf_dir)))
+    """The log's patterns, staged: a row for each, which several plans read."""
+    return stage(patterns.discover(events.enrich(logs(spark, sf_dir))), "patterns")
 
 
 @query(
@@ -89,10 +92,26 @@ def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"row_number() OVER (ORDER BY {_RANK.format('severity')} DESC, count DESC, fingerprint) AS place FROM p"
 )
 def log_patterns(spark, sf_dir):
-    """Patterns with their rank and cost."""
+    """Patterns with their rank and cost."""
     out = found(spark, sf_dir)
-    place = F.row_number().over(Window.orderBy(*patterns.ranked(out))).cast("long")
-    return out.select("fingerprint", "template", "severity", "count", "first_seen", "last_seen", F.array_join("services", ",").alias("services"), "retention_reason", "cost", place.alias("place"))
+    out = placed(out, *patterns.ranked(out))
+    return out.select("fingerprint", "template", "severity", "count", "first_seen", "last_seen", F.array_join("services", ",").alias("services"), "retention_reason", "cost", "place")
+
+
+_TRACE_TEMPLATE = "CASE WHEN severity = 'ERROR' THEN concat('com.shop.Kind', seq % 3, 'Exception: order=<id> failed after <id> ms') ELSE {0} END"
+
+
+@query(
+    f"WITH logs AS ({LOGS}), e AS (SELECT *, {_TRACE_TEMPLATE.format(_duck_normalized('message'))} AS template, CASE WHEN severity = 'ERROR' THEN CASE WHEN seq % 3 = 0 THEN 0 ELSE seq % 2 END END AS run FROM logs), "
+    f"v AS (SELECT {_LP} AS fingerprint, severity, service, min(seq) AS first_seq, count(*) AS n FROM e GROUP BY ALL), "
+    f"f AS (SELECT {_LP} AS fingerprint, count(DISTINCT run) AS stacks, min(seq % 3) AS kind FROM e GROUP BY 1), "
+    "x AS (SELECT concat('STACK-', substr(sha256(concat('com.shop.Kind', k, 'Exception', chr(0), 'at com.shop.Cart.add(Cart.java:<line>)', chr(0), 'at com.shop.Pay.run0(Pay.java:<line>)', chr(0), 'Caused by: id=<id> lost')), 1, 16)) AS stack, k FROM (VALUES (0)) t(k)) "
+    "SELECT v.fingerprint, severity, sum(n)::BIGINT AS count, string_agg(concat('Q-', service), ',' ORDER BY first_seq) AS evidence, any_value(CASE WHEN stacks = 1 THEN stack END) AS exception_fingerprint FROM v JOIN f USING (fingerprint) LEFT JOIN x ON x.k = f.kind GROUP BY ALL"
+)
+def pattern_evidence(spark, sf_dir):
+    """A2, A3: distinct evidence in the order of its first event, and the stack of patterns that have one alone."""
+    out = patterns.discover(events.enrich(traces(spark, sf_dir)))
+    return out.select("fingerprint", "severity", "count", F.array_join(F.transform("evidence", lambda e: e["queryRef"]), ",").alias("evidence"), "exception_fingerprint")
 
 
 def _messages(c: str) -> str:
@@ -113,7 +132,7 @@ def severity_ranks(spark, sf_dir):
 
 
 _DELTAS = f"""WITH logs AS ({LOGS}), e AS (SELECT *, {_duck_normalized('message')} AS template FROM logs),
- i AS (SELECT template, severity, count(*) AS incident_count FROM e WHERE ts >= '{SPLIT}' OR seq % 1000 < 3 GROUP BY ALL),
+ i AS (SELECT template, severity, count(*) AS incident_count FROM e WHERE ts >= '{SPLIT}' AND NOT starts_with(message, 'signup') GROUP BY ALL),
  b AS (SELECT template, severity, count(*) AS baseline_count FROM e WHERE ts < '{SPLIT}' AND severity <> 'ERROR' GROUP BY ALL),
  j AS (SELECT coalesce(i.template, b.template) AS template, coalesce(i.severity, b.severity) AS severity, coalesce(incident_count, 0) AS incident_count, coalesce(baseline_count, 0) AS baseline_count FROM i FULL JOIN b USING (template, severity)),
  r AS (SELECT *, round(incident_count * 60 / 3600, 4) AS incident_rate_per_minute, round(baseline_count * 60 / 7200, 4) AS baseline_rate_per_minute FROM j),
@@ -124,15 +143,15 @@ _DELTAS = f"""WITH logs AS ({LOGS}), e AS (SELECT *, {_duck_normalized('message'
 
 def _deltas(spark, sf_dir):
     e = events.enrich(logs(spark, sf_dir))
-    incident = e.where((F.col("ts") >= F.lit(SPLIT).cast("timestamp_ntz")) | (F.col("seq") % 1000 < 3))
+    incident = e.where((F.col("ts") >= F.lit(SPLIT).cast("timestamp_ntz")) & ~F.startswith("message", F.lit("signup")))
     baseline = e.where((F.col("ts") < F.lit(SPLIT).cast("timestamp_ntz")) & (F.col("severity") != "ERROR"))
     return correlate.deltas(incident, baseline, 3600, 7200)
 
 
-@query(_DELTAS)
+@query(f"SELECT *, row_number() OVER (ORDER BY template, severity) AS place FROM ({_DELTAS})")
 def pattern_deltas(spark, sf_dir):
-    """J1, U1, A7, O2 and the delta states."""
-    return _deltas(spark, sf_dir)
+    """J1, U1, A7, O2 and the delta states: no sign-ups in the incident, no errors in the baseline."""
+    return placed(_deltas(spark, sf_dir), "template", "severity")
 
 
 @query(f"WITH d AS ({_DELTAS}) SELECT s.state, count(d.state) AS patterns FROM (VALUES ('NEW'), ('DISAPPEARED'), ('SPIKE'), ('DROP'), ('STABLE'), ('CHANGED')) s(state) LEFT JOIN d ON d.state = s.state GROUP BY s.state")
@@ -152,10 +171,11 @@ _CORR = f"""{LOGS}), ids AS (SELECT seq, ts, service, {_duck_normalized('message
    CASE WHEN count(DISTINCT service) > 1 THEN 0.85 ELSE 0.6 END AS confidence FROM ids WHERE value <> '' GROUP BY id_type, value HAVING count(*) >= 2)"""
 
 
-@query(f"WITH logs AS ({_CORR} SELECT correlation_ref, id_type, event_count, services, {_ISO.format('first_ts')} AS first_seen, {_ISO.format('last_ts')} AS last_seen, cast(confidence AS double) AS confidence FROM g")
+@query(f"WITH logs AS ({_CORR} SELECT correlation_ref, id_type, event_count, services, {_ISO.format('first_ts')} AS first_seen, {_ISO.format('last_ts')} AS last_seen, cast(confidence AS double) AS confidence, row_number() OVER (ORDER BY confidence DESC, event_count DESC, correlation_ref) AS place FROM g")
 def correlation_groups(spark, sf_dir):
     """A5, F5, O4."""
-    return correlate.correlation_groups(events.enrich(logs(spark, sf_dir))).withColumn("services", F.array_join("services", ","))
+    out = correlate.correlation_groups(events.enrich(logs(spark, sf_dir))).withColumn("services", F.array_join("services", ","))
+    return placed(out, F.desc("confidence"), F.desc("event_count"), "correlation_ref")
 
 
 @query(
@@ -165,8 +185,8 @@ def correlation_groups(spark, sf_dir):
 )
 def correlation_summary(spark, sf_dir):
     """A6, J3."""
-    e = events.enrich(logs(spark, sf_dir))
-    return correlate.correlation_summary(e, correlate.correlation_groups(e))
+    e = stage(events.enrich(logs(spark, sf_dir)).select("seq", "ts", "service", "ids"), "ids")
+    return correlate.correlation_summary(e, stage(correlate.correlation_groups(e), "groups"))
 
 
 @query(f"WITH logs AS ({LOGS}), r AS (SELECT {_RANK.format('severity')} AS k, lag({_RANK.format('severity')}) OVER (ORDER BY ts, seq) AS before FROM logs) SELECT count(*) AS escalations FROM r WHERE k > before")
@@ -181,20 +201,21 @@ def window_seconds(spark, sf_dir):
     return events.window_seconds(logs(spark, sf_dir))
 
 
-_TRACE = """concat('com.shop.Kind', seq % 3, 'Exception: order=', seq, ' failed after 1234 ms', chr(10), '    at com.shop.Cart.add(Cart.java:', seq % 97, ')', chr(10), chr(10), '  at com.shop.Pay.run', seq % 2, '(Pay.java:12)', chr(10), '  ... 3 more', chr(10), 'Caused by: id=', seq % 5, ' lost')"""
+_TRACE = """concat('com.shop.Kind', seq % 3, 'Exception: order=', seq, ' failed after 1234 ms', chr(10), '    at com.shop.Cart.add(Cart.java:', seq % 97, ')', chr(10), chr(10), '  at com.shop.Pay.run', CASE WHEN seq % 3 = 0 THEN 0 ELSE seq % 2 END, '(Pay.java:12)', chr(10), '  ... 3 more', chr(10), 'Caused by: id=', seq % 5, ' lost')"""
 
 
 @query(
     f"""WITH logs AS ({LOGS}), t AS (SELECT *, {_TRACE} AS trace FROM logs WHERE severity = 'ERROR'),
  l AS (SELECT seq, ts, service, regexp_extract(trace, '^[A-Za-z.0-9]+', 0) AS exception_type, list_filter(string_split(trace, chr(10)), lambda x: regexp_matches(x, '^\\s*(at\\s+|Caused by:).+')) AS lines FROM t),
  f AS (SELECT seq, ts, service, exception_type, list_transform(lines, lambda x: regexp_replace(regexp_replace(trim(x), '(\\.java:)\\d+', '\\1<line>', 'g'), '\\bid=\\d+\\b', 'id=<id>', 'g')) AS frames FROM l)
- SELECT concat('STACK-', substr(sha256(concat(exception_type, chr(0), array_to_string(frames, chr(0)))), 1, 16)) AS fingerprint, any_value(exception_type) AS exception_type, any_value(array_to_string(frames, ' | ')) AS frames, count(*) AS count, string_agg(DISTINCT service, ',' ORDER BY service) AS services, {_ISO.format('min(ts)')} AS first_seen, {_ISO.format('max(ts)')} AS last_seen
+ SELECT concat('STACK-', substr(sha256(concat(exception_type, chr(0), array_to_string(frames, chr(0)))), 1, 16)) AS fingerprint, any_value(exception_type) AS exception_type, any_value(array_to_string(frames, ' | ')) AS frames, count(*) AS count, string_agg(DISTINCT service, ',' ORDER BY service) AS services, {_ISO.format('min(ts)')} AS first_seen, {_ISO.format('max(ts)')} AS last_seen,
+ row_number() OVER (ORDER BY count(*) DESC, concat('STACK-', substr(sha256(concat(exception_type, chr(0), array_to_string(frames, chr(0)))), 1, 16))) AS place
  FROM f GROUP BY exception_type, frames"""
 )
 def stack_fingerprints(spark, sf_dir):
     """A4, T6, T7, O3."""
-    out = patterns.stack_groups(events.enrich(traces(spark, sf_dir)))
-    return out.select("fingerprint", "exception_type", F.array_join("frames", " | ").alias("frames"), "count", F.array_join("services", ",").alias("services"), "first_seen", "last_seen")
+    out = placed(patterns.stack_groups(events.enrich(traces(spark, sf_dir))), F.desc("count"), "fingerprint")
+    return out.select("fingerprint", "exception_type", F.array_join("frames", " | ").alias("frames"), "count", F.array_join("services", ",").alias("services"), "first_seen", "last_seen", "place")
 
 
 _BUDGET_SQL = f"""{_CTE}, c AS (SELECT *, 24 + (length(template) + CASE WHEN count = 1 THEN length({_ISO.format('first_ts')}) + 31 ELSE length({_ISO.format('first_ts')}) + length({_ISO.format('last_ts')}) + 62 END) // 4 AS cost, row_number() OVER (ORDER BY {_RANK.format('severity')} DESC, count DESC, fingerprint) AS place FROM p),
@@ -219,20 +240,32 @@ def budget_prefix(spark, sf_dir):
     return patterns.within_prefix(out, 500, patterns.ranked(out), 12).select("fingerprint", "cost", "running_cost")
 
 
+_REFS = f"WITH logs AS ({_CORR}, e AS (SELECT *, {_LP} AS fingerprint FROM ids), refs AS (SELECT DISTINCT fingerprint, ref AS correlation_ref FROM (SELECT fingerprint, concat('CORR-', substr(sha256(concat(id_type, chr(0), value)), 1, 16)) AS ref FROM e) WHERE ref IN (SELECT correlation_ref FROM g))"
+
+
 @query(
-    f"WITH logs AS ({_CORR}, e AS (SELECT *, {_LP} AS fingerprint FROM ids), refs AS (SELECT fingerprint, string_agg(DISTINCT ref, ',' ORDER BY ref) AS refs FROM (SELECT fingerprint, concat('CORR-', substr(sha256(concat(id_type, chr(0), value)), 1, 16)) AS ref FROM e) WHERE ref IN (SELECT correlation_ref FROM g) GROUP BY fingerprint), "
-    f"p AS (SELECT fingerprint, any_value(template) AS template, min(ts) AS first_ts, count(DISTINCT service) AS n, min(service) AS one FROM e GROUP BY fingerprint) "
-    f"SELECT {_ISO.format('first_ts')} AS timestamp, 'log_pattern' AS kind, CASE WHEN n = 1 THEN one ELSE 'multiple' END AS service, substr(template, 1, 240) AS summary, sha256(coalesce(refs, '')) AS refs FROM p LEFT JOIN refs USING (fingerprint) "
-    f"UNION ALL SELECT {_ISO.format('o.d')} AS timestamp, 'deployment', 'svc-0', concat('release ', o.k), sha256('') FROM (SELECT cast(o_orderdate AS timestamp) AS d, count(*) AS k FROM orders GROUP BY 1) o"
+    f"{_REFS}, n AS (SELECT fingerprint, count(*) AS refs FROM refs GROUP BY 1), p AS (SELECT fingerprint, any_value(template) AS template, min(ts) AS first_ts, count(DISTINCT service) AS n, min(service) AS one FROM e GROUP BY fingerprint), "
+    f"t AS (SELECT {_ISO.format('first_ts')} AS timestamp, 'log_pattern' AS kind, CASE WHEN n = 1 THEN one ELSE 'multiple' END AS service, substr(template, 1, 240) AS summary, coalesce(refs, 0) AS refs FROM p LEFT JOIN n USING (fingerprint) "
+    f"UNION ALL SELECT {_ISO.format('o.d')} AS timestamp, 'deployment', 'svc-0', concat('release ', o.k), 0 FROM (SELECT cast(o_orderdate AS timestamp) AS d, count(*) AS k FROM orders GROUP BY 1) o) "
+    "SELECT *, row_number() OVER (ORDER BY timestamp, kind, service, summary) AS place FROM t"
 )
 def timeline_union(spark, sf_dir):
-    """Log patterns and deployment markers in one timeline."""
-    e = events.enrich(logs(spark, sf_dir))
-    entries = correlate.pattern_entries(patterns.discover(e), e, correlate.correlation_groups(e))
+    """Log patterns and deployment markers in one timeline, with the number of refs of each pattern."""
+    e = events.staged(logs(spark, sf_dir))
+    whole = stage(patterns.discover(e), "patterns")
+    refs = correlate.pattern_refs(whole, e, stage(correlate.correlation_groups(e), "groups"))
+    entries = correlate.pattern_entries(whole).join(refs.groupBy("fingerprint").agg(F.count("*").alias("refs")), "fingerprint", "left")
     day = table(spark, sf_dir, "orders").groupBy(F.col("o_orderdate").cast("timestamp").alias("d")).agg(F.count("*").alias("k"))
-    markers = day.select(T.iso_z(F.col("d")).alias("timestamp"), F.lit("deployment").alias("kind"), F.lit("svc-0").alias("service"), F.concat(F.lit("release "), "k").alias("summary"), F.sha2(F.lit(""), 256).alias("refs"))
-    shown = entries.select("timestamp", "kind", "service", "summary", F.sha2(F.array_join("correlation_refs", ","), 256).alias("refs"))
-    return correlate.timeline(shown, markers)
+    markers = day.select(T.iso_z(F.col("d")).alias("timestamp"), F.lit("deployment").alias("kind"), F.lit("svc-0").alias("service"), F.concat(F.lit("release "), "k").alias("summary"), F.lit(0).cast("long").alias("refs"))
+    shown = entries.select("timestamp", "kind", "service", "summary", F.coalesce("refs", F.lit(0)).alias("refs"))
+    return placed(shown.unionByName(markers), "timestamp", "kind", "service", "summary")
+
+
+@query(f"{_REFS} SELECT * FROM refs")
+def timeline_refs(spark, sf_dir):
+    """The refs of each pattern's timeline entry, a row for each."""
+    e = stage(events.enrich(logs(spark, sf_dir)).select("seq", "ts", "service", "fingerprint", "ids"), "ids")
+    return correlate.pattern_refs(e.select("fingerprint").distinct(), e, stage(correlate.correlation_groups(e), "groups"))
 
 
 _SERIES = "SELECT user_id, value, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS ord, count(*) OVER (PARTITION BY user_id) AS n FROM events"
@@ -254,6 +287,15 @@ def metric_anomalies(spark, sf_dir):
     return signals.metric_anomalies(series(spark, sf_dir), ["user_id"], 1.5)
 
 
+@query(f"{_ANOMALY} SELECT user_id, concat('MA-', substr(sha256(concat('load', chr(0), 'svc-', user_id % 7)), 1, 16)) AS id, concat('svc-', user_id % 7) AS service, CASE direction WHEN 'up' THEN 'SPIKE' ELSE 'DROP' END AS state, CASE direction WHEN 'up' THEN score ELSE -score END AS peak, 'point-deviation' AS shape FROM a")
+def anomaly_records(spark, sf_dir):
+    """A10: anomalies in the form that a snapshot takes."""
+    scored = signals.metric_anomalies(series(spark, sf_dir), ["user_id"], 0.0)
+    labels = F.create_map(F.lit("app"), F.concat(F.lit("svc-"), F.col("user_id") % 7), F.lit("user"), F.col("user_id").cast("string"))
+    shaped = scored.select(F.lit("load").alias("metric"), labels.alias("labels"), "score", "direction", F.col("seen").alias("first_seen"), F.col("seen").alias("last_seen"))
+    return signals.incident_anomalies(shaped).select(F.col("labels.user").cast("long").alias("user_id"), "id", "service", "state", "peak", "shape")
+
+
 @query(f"{_ANOMALY} SELECT user_id, score, direction FROM a ORDER BY score DESC, user_id LIMIT 10")
 def anomaly_top(spark, sf_dir):
     """O6."""
@@ -278,37 +320,52 @@ def anomaly_peaks(spark, sf_dir):
  SELECT namespace, object_kind, object_name, reason, type, message_template, sum(n)::BIGINT AS count, min(ts) AS first_seen, max(ts) AS last_seen, substr(sha256(concat_ws(chr(0), namespace, object_kind, object_name, reason, type, message_template)), 1, 16) AS fingerprint FROM k GROUP BY ALL"""
 )
 def infrastructure_groups(spark, sf_dir):
-    """A11, T9, O7."""
+    """A11, T9."""
+    return signals.infrastructure_groups(_cluster_events(spark, sf_dir)).drop("seq")
+
+
+def _cluster_events(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    shaped = e.select(
+    return e.select(
         F.concat(F.lit("ns-"), F.col("user_id") % 2).alias("namespace"), F.lit("Pod").alias("object_kind"), F.concat(F.lit("pod-"), F.col("user_id") % 4).alias("object_name"), F.col("event_type").alias("reason"), F.lit("Warning").alias("type"),
         F.concat("event_type", F.lit(" of "), "event_id", F.lit(" failed")).alias("message"), (F.col("event_id") % 3).alias("count"), "ts", F.col("event_id").alias("seq"),
     )
-    return signals.infrastructure_groups(shaped).drop("seq")
+
+
+@query(
+    """WITH k AS (SELECT concat('ns-', user_id % 2) AS namespace, concat('pod-', user_id % 4) AS object_name, event_type AS reason, CASE WHEN event_id % 3 = 0 THEN 1 ELSE event_id % 3 END AS n FROM events),
+ g AS (SELECT namespace, object_name, reason, sum(n)::BIGINT AS count FROM k GROUP BY ALL)
+ SELECT *, row_number() OVER (ORDER BY count DESC, namespace, object_name, reason) AS place FROM g QUALIFY place <= 7"""
+)
+def infrastructure_top(spark, sf_dir):
+    """The largest groups of cluster events, in order."""
+    top = placed(signals.top_infrastructure(signals.infrastructure_groups(_cluster_events(spark, sf_dir)), 7), F.desc("count"), "namespace", "object_kind", "object_name", "reason", "seq")
+    return top.select("namespace", "object_name", "reason", "count", "place")
 
 
 @query(
     """WITH l AS (SELECT 'user_id' AS key, cast(user_id AS varchar) AS value FROM events UNION ALL SELECT 'type', event_type FROM events UNION ALL SELECT 'k', json_extract_string(props, '$.k') FROM events UNION ALL SELECT 'day', cast(cast(ts AS date) AS varchar) FROM events),
  v AS (SELECT DISTINCT key, value FROM l WHERE value IS NOT NULL), c AS (SELECT key AS label, count(*) AS unique_values, key = 'user_id' OR bool_or(regexp_matches(value, '[0-9a-f]{12,}')) AS risky, array_to_string(list_sort(list(value))[1:3], ',') AS examples FROM v GROUP BY key)
- SELECT label, unique_values, CASE WHEN unique_values >= 100 OR (risky AND unique_values >= 10) THEN 'critical' ELSE 'warn' END AS severity, CASE WHEN risky THEN 'high cardinality label' ELSE 'many unique label values' END AS reason, examples FROM c WHERE risky OR unique_values >= 10"""
+ SELECT label, unique_values, CASE WHEN unique_values >= 100 OR (risky AND unique_values >= 10) THEN 'critical' ELSE 'warn' END AS severity, CASE WHEN risky THEN 'high cardinality label' ELSE 'many unique label values' END AS reason, examples,
+ row_number() OVER (ORDER BY CASE WHEN unique_values >= 100 OR (risky AND unique_values >= 10) THEN 0 ELSE 1 END, unique_values DESC, label) AS place FROM c WHERE risky OR unique_values >= 10"""
 )
 def label_cardinality(spark, sf_dir):
     """A12, O8."""
     e = table(spark, sf_dir, "events")
     labels = F.create_map(F.lit("user_id"), F.col("user_id").cast("string"), F.lit("type"), F.col("event_type"), F.lit("k"), F.get_json_object("props", "$.k"), F.lit("day"), F.to_date("ts").cast("string"))
     out = signals.label_cardinality(e.select(F.explode(labels)).where("value is not null"))
-    return out.withColumn("examples", F.array_join("examples", ","))
+    return placed(out.withColumn("examples", F.array_join("examples", ",")), *signals.cardinality_order())
 
 
 @query(
-    "WITH x AS (SELECT doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN 'root_cause' ELSE 'code_reference' END AS kind FROM documents WHERE doc_id % 3 <> 0), r AS (SELECT doc_id AS id, 'code_reference' AS kind FROM labels) "
+    "WITH x AS (SELECT doc_id AS id, CASE WHEN toxic = 1 THEN 'root_cause' ELSE 'code_reference' END AS kind FROM labels WHERE quality = 1), r AS (SELECT doc_id AS id, 'code_reference' AS kind FROM documents WHERE lang = 'en') "
     "SELECT id, kind, 'missing' AS finding FROM x WHERE id NOT IN (SELECT id FROM r) UNION ALL SELECT id, kind, 'unexpected' FROM r WHERE id NOT IN (SELECT id FROM x)"
 )
 def evidence_recall(spark, sf_dir):
-    """Expected evidence that is missing, and retained evidence that is not expected."""
-    kind = F.when(F.col("doc_id") % 2 == 0, "root_cause").otherwise("code_reference")
-    expected = table(spark, sf_dir, "documents").where("doc_id % 3 <> 0").select(F.col("doc_id").alias("id"), kind.alias("kind"))
-    retained = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.lit("code_reference").alias("kind"))
+    """Expected evidence (good labels) that is missing, and retained evidence (English texts) that is not expected."""
+    kind = F.when(F.col("toxic") == 1, "root_cause").otherwise("code_reference")
+    expected = table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("id"), kind.alias("kind"))
+    retained = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").alias("id"), F.lit("code_reference").alias("kind"))
     return signals.evidence_recall(expected, retained)
 
 
@@ -449,7 +506,7 @@ _KIND = "CASE doc_id % 6 " + " ".join(f"WHEN {k} THEN '{kind}'" for k, kind in e
 
 
 @query(
-    f"""WITH x AS (SELECT source AS scenario, {_KIND} AS kind, cast(doc_id AS varchar) AS id, doc_id IN (SELECT doc_id FROM labels) OR doc_id % 5 < 4 AS kept FROM documents),
+    f"""WITH x AS (SELECT source AS scenario, {_KIND} AS kind, cast(doc_id AS varchar) AS id, doc_id IN (SELECT doc_id FROM labels) OR coalesce(lang = 'en', false) AS kept FROM documents),
  k AS (SELECT scenario, kind, bool_and(kept) AS whole, count(*) FILTER (NOT kept) AS lost FROM x GROUP BY ALL)
  SELECT scenario, count(*) FILTER (whole) AS whole_kinds, sum(lost)::BIGINT AS missing, CASE WHEN count(*) FILTER (whole) + sum(lost) = 0 THEN 1.0 ELSE count(*) FILTER (whole) / (count(*) FILTER (whole) + sum(lost)) END::DOUBLE AS recall, sum(lost) = 0 AND count(*) FILTER (whole) = 6 AS passed FROM k GROUP BY scenario"""
 )
@@ -461,7 +518,7 @@ def scenario_recall(spark, sf_dir):
     kind = F.element_at(F.array(*(F.lit(k) for k in ("first_failure", "rare_precursor", "root_cause", "code_reference", "metric_anomaly", "deployment_retention"))), (F.col("doc_id") % 6 + 1).cast("int"))
     expected = docs.select(F.col("source").alias("scenario"), kind.alias("kind"), F.col("doc_id").cast("string").alias("id"))
     labelled = docs.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
-    kept = labelled.union(docs.where("doc_id % 5 < 4")).select(F.col("source").alias("scenario"), F.col("doc_id").cast("string").alias("id"))
+    kept = labelled.union(docs.where("lang = 'en'")).select(F.col("source").alias("scenario"), F.col("doc_id").cast("string").alias("id"))
     found = recall(expected, kept)
     whole = sum((F.col(k).cast("int") for k in KINDS), F.lit(0))
     return found.select("scenario", whole.cast("long").alias("whole_kinds"), F.size("missing").cast("long").alias("missing"), F.col("recall").cast("double").alias("recall"), "passed")
@@ -475,13 +532,49 @@ def _built(spark, sf_dir):
     return build(Request("shop", BUDGET, e.where(F.col("ts") >= split), e.where(F.col("ts") < split), 3600, 3600))
 
 
-@query()
-def incident_snapshot(spark, sf_dir):
-    """The snapshot's sections as JSON."""
-    import json
+_SNAPSHOT = f"""WITH RECURSIVE logs AS ({LOGS}), i AS (SELECT *, {_duck_normalized('message')} AS template FROM logs WHERE ts >= '{SPLIT}'), e AS (SELECT *, {_LP} AS fingerprint, regexp_extract(message, 'request_id=([A-Za-z0-9._:-]{{2,256}})', 1) AS value FROM i),
+ b AS (SELECT template, severity, count(*) AS baseline_count FROM (SELECT *, {_duck_normalized('message')} AS template FROM logs WHERE ts < '{SPLIT}') GROUP BY ALL),
+ p AS (SELECT fingerprint, template, severity, count(*) AS count, min(ts) AS first_ts, max(ts) AS last_ts, string_agg(DISTINCT service, ',' ORDER BY service) AS services, count(DISTINCT service) AS n_services FROM e GROUP BY fingerprint, template, severity),
+ c AS (SELECT *, 24 + (length(template) + CASE WHEN count = 1 THEN length({_ISO.format('first_ts')}) + 31 ELSE length({_ISO.format('first_ts')}) + length({_ISO.format('last_ts')}) + 62 END) // 4 AS cost, row_number() OVER (ORDER BY {_RANK.format('severity')} DESC, count DESC, fingerprint) AS place FROM p),
+ o AS (SELECT fingerprint, cost, row_number() OVER (ORDER BY place) AS n FROM c WHERE severity <> 'ERROR'),
+ w AS (SELECT 0::BIGINT AS n, (SELECT coalesce(sum(cost), 0)::BIGINT FROM c WHERE severity = 'ERROR') AS used, NULL::VARCHAR AS kept
+  UNION ALL SELECT o.n, CASE WHEN w.used + o.cost <= {BUDGET - 36} THEN w.used + o.cost ELSE w.used END, CASE WHEN w.used + o.cost <= {BUDGET - 36} THEN o.fingerprint END FROM w JOIN o ON o.n = w.n + 1),
+ k AS (SELECT * FROM c WHERE severity = 'ERROR' OR fingerprint IN (SELECT kept FROM w WHERE kept IS NOT NULL)),
+ d AS (SELECT coalesce(p.template, b.template) AS template, coalesce(p.severity, b.severity) AS severity, coalesce(count, 0) AS incident_count, coalesce(baseline_count, 0) AS baseline_count FROM p FULL JOIN b ON p.template = b.template AND p.severity = b.severity),
+ x AS (SELECT *, round(incident_count * 60 / 3600, 4) / nullif(round(baseline_count * 60 / 3600, 4), 0) AS change FROM d),
+ g AS (SELECT concat('CORR-', substr(sha256(concat('request_id', chr(0), value)), 1, 16)) AS ref, count(*) AS n, string_agg(DISTINCT service, ',' ORDER BY service) AS services, CASE WHEN count(DISTINCT service) > 1 THEN 0.85 ELSE 0.6 END AS confidence FROM e WHERE value <> '' GROUP BY value HAVING count(*) >= 2),
+ r AS (SELECT fingerprint, count(DISTINCT concat('CORR-', substr(sha256(concat('request_id', chr(0), value)), 1, 16))) AS refs FROM e WHERE concat('CORR-', substr(sha256(concat('request_id', chr(0), value)), 1, 16)) IN (SELECT ref FROM g) GROUP BY 1),
+ t AS (SELECT (SELECT count(*) FROM e) AS n, (SELECT sum(greatest(1, length(message) // 4) + 12) FROM e) AS tokens, (SELECT max(ts) FROM e) AS last_ts, (SELECT count(*) FROM p) AS patterns, (SELECT count(*) FROM k) AS kept, (SELECT sum(cost) FROM k) AS cost, (SELECT count(*) FROM d) AS deltas, (SELECT count(*) FROM g) AS groups)
+ """
 
-    s = _built(spark, sf_dir).to_dict()
-    return spark.createDataFrame([(k, json.dumps(v, sort_keys=True, ensure_ascii=False)) for k, v in sorted(s.items())], "section string, json string")
+
+@query(
+    f"""{_SNAPSHOT} SELECT 'patterns' AS section, row_number() OVER (ORDER BY place) AS place, fingerprint AS id, concat_ws('|', severity, count, {_ISO.format('first_ts')}, {_ISO.format('last_ts')}, services, CASE WHEN severity = 'ERROR' THEN 'protected_severity' ELSE 'dominant_frequency' END) AS detail FROM k
+ UNION ALL SELECT 'deltas', row_number() OVER (ORDER BY template, severity), {_LP}, concat_ws('|', incident_count, baseline_count, CASE WHEN baseline_count = 0 THEN 'NEW' WHEN incident_count = 0 THEN 'DISAPPEARED' WHEN round(change, 4) >= 2 THEN 'SPIKE' WHEN round(change, 4) <= 0.5 THEN 'DROP' WHEN round(change, 4) = 1 THEN 'STABLE' ELSE 'CHANGED' END) FROM x
+ UNION ALL SELECT 'correlations', row_number() OVER (ORDER BY confidence DESC, n DESC, ref), ref, concat_ws('|', n, services) FROM g
+ UNION ALL SELECT 'timeline', row_number() OVER (ORDER BY {_ISO.format('first_ts')}, CASE WHEN n_services = 1 THEN services ELSE 'multiple' END, fingerprint), fingerprint, concat_ws('|', CASE WHEN n_services = 1 THEN services ELSE 'multiple' END, substr(template, 1, 240), coalesce(refs, 0)) FROM k LEFT JOIN r USING (fingerprint)
+ UNION ALL SELECT 'totals', 1, {_ISO.format('last_ts')}, concat_ws('|', n, patterns, kept, patterns - kept, tokens::BIGINT, (36 + cost + 20 * deltas + 18 * kept + 16 * groups)::BIGINT, patterns > kept) FROM t"""
+)
+def incident_snapshot(spark, sf_dir):
+    """The snapshot's sections in their order, and its totals, as rows."""
+    s = _built(spark, sf_dir)
+    detail = {
+        "patterns": ("fingerprint", ["severity", "count", "first_seen", "last_seen", F.array_join("services", ","), "retention_reason"]),
+        "deltas": ("fingerprint", ["incident_count", "baseline_count", "state"]),
+        "correlations": ("correlation_ref", ["event_count", F.array_join("services", ",")]),
+        "stackFingerprints": ("fingerprint", ["count"]),
+        "timeline": ("fingerprint", ["service", "summary", F.size("correlation_refs")]),
+    }
+    rows = [
+        placed(table, *order).select(F.lit(name).alias("section"), "place", F.col(detail[name][0]).alias("id"), F.concat_ws("|", *(F.col(c).cast("string") if isinstance(c, str) else c.cast("string") for c in detail[name][1])).alias("detail"))
+        for name, (table, order) in s.sections().items()
+    ]
+    whole = s.to_dict()
+    totals = [whole["rawEventCount"], whole["compression"]["discoveredPatterns"], len(whole["patterns"]), whole["omittedPatternCount"], whole["compression"]["estimatedInputTokens"], whole["requiredTokens"], str(whole["incomplete"]).lower()]
+    out = spark.createDataFrame([("totals", 1, whole["generatedAt"], "|".join(map(str, totals)))], "section string, place long, id string, detail string")
+    for table in rows:
+        out = out.unionByName(table)
+    return out
 
 
 @query()
@@ -494,6 +587,82 @@ def disclosure_account(spark, sf_dir):
     return spark.createDataFrame(rows, "level string, kind string, requested int, applied int, budget_spent int")
 
 
+def _answers(spark, sf_dir, key: str, labels: DataFrame, value) -> DataFrame:
+    """Recorded answers of a backend, one for each event, as JSON text."""
+    return labels.select(F.to_json(F.array(F.struct(F.col("labels").alias(key), F.array(value).alias("values")))).alias("result"))
+
+
+@query(f"SELECT event_id % 4294967296 AS line, ts, CASE WHEN user_id % 3 = 0 THEN concat('svc-', user_id % 5) WHEN user_id % 3 = 1 THEN concat('job-', user_id % 5) ELSE 'unknown' END AS service, CASE WHEN event_type = 'error' THEN 'ERROR' ELSE 'INFO' END AS severity, concat(CASE WHEN event_type = 'error' THEN 'ERROR' ELSE 'ok' END, ' event ', event_id) AS message, to_json(cast(user_id AS varchar))::VARCHAR AS user_field, 'Q' AS query_ref FROM events")
+def log_backend_lines(spark, sf_dir):
+    """Recorded answers of a log backend as events; times in nanoseconds."""
+    from ..sources import loki
+
+    e = table(spark, sf_dir, "events")
+    third = F.col("user_id") % 3
+    labels = F.map_filter(F.create_map(F.lit("app"), F.when(third == 0, F.concat(F.lit("svc-"), F.col("user_id") % 5)), F.lit("job"), F.when(third == 1, F.concat(F.lit("job-"), F.col("user_id") % 5)), F.lit("user"), F.col("user_id").cast("string")), lambda k, v: v.isNotNull())
+    line = F.concat(F.when(F.col("event_type") == "error", "ERROR").otherwise("ok"), F.lit(" event "), "event_id")
+    nanos = F.concat(F.unix_micros(F.col("ts").cast("timestamp")).cast("string"), F.lit("789"))
+    raw = _answers(spark, sf_dir, "stream", e.withColumn("labels", labels), F.array(nanos, line))
+    out = loki.shape(raw, {"source": "loki", "queryRef": "Q", "start": "a", "end": "b"})
+    return out.select(F.regexp_extract("message", r"(\d+)$", 1).cast("long").alias("line"), F.col("ts").cast("timestamp_ntz").alias("ts"), "service", "severity", "message", F.col("fields")["user"].alias("user_field"), F.col("evidence.queryRef").alias("query_ref"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'load' ELSE 'unknown_metric' END AS metric, user_id, 0 AS ord, ts, value FROM events")
+def metric_backend_samples(spark, sf_dir):
+    """Recorded answers of a metric backend as samples."""
+    from ..sources import prometheus
+
+    e = table(spark, sf_dir, "events")
+    named = F.when(F.col("event_id") % 2 == 0, "load")
+    labels = F.map_filter(F.create_map(F.lit("__name__"), named, F.lit("user"), F.col("user_id").cast("string"), F.lit("event"), F.col("event_id").cast("string")), lambda k, v: v.isNotNull())
+    seconds = F.format_string("%d.%06d", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).cast("long"), F.pmod(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(1_000_000)))
+    out = prometheus.shape(_answers(spark, sf_dir, "metric", e.withColumn("labels", labels), F.array(seconds, F.col("value").cast("string"))))
+    return out.select(F.col("labels")["event"].cast("long").alias("event_id"), "metric", F.col("labels")["user"].cast("long").alias("user_id"), "ord", F.col("ts").cast("timestamp_ntz").alias("ts"), "value")
+
+
+@query("SELECT event_id AS seq, CASE WHEN user_id % 2 = 0 THEN concat('ns-', user_id % 4) ELSE 'default' END AS namespace, 'Pod' AS object_kind, CASE WHEN user_id % 5 = 0 THEN 'unknown' ELSE concat('pod-', user_id % 4) END AS object_name, event_type AS reason, CASE WHEN event_type = 'error' THEN 'Warning' ELSE 'Normal' END AS type, CASE WHEN event_type = 'view' THEN '' ELSE concat('event ', event_id) END AS message, event_id % 3 AS count, date_trunc('second', ts) AS ts FROM events")
+def cluster_event_rows(spark, sf_dir):
+    """Cluster events from JSON, with what is missing filled in."""
+    from ..sources import kubernetes
+
+    e = table(spark, sf_dir, "events")
+    name = F.when(F.col("user_id") % 5 == 0, "").otherwise(F.concat(F.lit("pod-"), F.col("user_id") % 4))
+    when = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    some = F.col("event_id") % 2 == 0
+    event = F.struct(
+        F.struct(F.when(F.col("user_id") % 2 == 0, F.concat(F.lit("ns-"), F.col("user_id") % 4)).alias("namespace")).alias("metadata"), F.struct(F.lit("Pod").alias("kind"), name.alias("name")).alias("involvedObject"), F.col("event_type").alias("reason"),
+        F.when(F.col("event_type") == "error", "Warning").alias("type"), F.when(F.col("event_type") != "view", F.concat(F.lit("event "), "event_id")).alias("message"), (F.col("event_id") % 3).alias("count"), F.when(some, when).alias("eventTime"), F.when(~some, when).alias("lastTimestamp"),
+    )
+    out = kubernetes.shape(e.select(F.col("event_id").alias("seq"), F.to_json(event).alias("event")))
+    return out.select("seq", "namespace", "object_kind", "object_name", "reason", "type", "message", "count", F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
+@query(f"SELECT event_id, ts, concat('svc-', user_id % 5) AS service, CASE WHEN event_type = 'error' THEN 'ERROR' ELSE 'INFO' END AS severity, concat('say \"', event_type, '\" ', event_id) AS message, cast(user_id AS varchar) AS user_field, concat('Q-', event_type) AS query_ref FROM events")
+def json_lines(spark, sf_dir):
+    """Events written as JSON lines and read again."""
+    from ..sources import jsonl
+
+    e = table(spark, sf_dir, "events")
+    line = F.struct(
+        T.iso_z(F.col("ts").cast("timestamp")).alias("timestamp"), F.concat(F.lit("svc-"), F.col("user_id") % 5).alias("service"), F.when(F.col("event_type") == "error", "ERROR").alias("severity"), F.concat(F.lit('say "'), "event_type", F.lit('" '), "event_id").alias("message"),
+        F.struct(F.col("user_id").alias("user"), F.col("event_id").alias("event")).alias("fields"), F.struct(F.lit("loki").alias("source"), F.concat(F.lit("Q-"), "event_type").alias("query_ref"), F.lit("a").alias("start"), F.lit("b").alias("end")).alias("evidence"),
+    )
+    path = f"{shared_dir(spark)}/tracefold/lines-{uuid.uuid4().hex}"
+    e.select(F.to_json(line).alias("value")).write.text(path)
+    out = jsonl.read_lines(spark, path)
+    return out.select(F.col("fields")["event"].cast("long").alias("event_id"), F.col("ts").cast("timestamp_ntz").alias("ts"), "service", "severity", "message", F.col("fields")["user"].alias("user_field"), F.col("evidence.queryRef").alias("query_ref"))
+
+
+@query("SELECT p_partkey AS ord, p_name AS name, concat('src/', replace(p_brand, '#', '')) AS source, CASE WHEN p_partkey % 2 = 0 THEN concat('L', p_size) END AS location, p_type AS community FROM part")
+def code_node_lines(spark, sf_dir):
+    """Code nodes from lines of text."""
+    p = table(spark, sf_dir, "part")
+    place = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit(" location=L"), "p_size")).otherwise(" location=")
+    line = F.concat(F.lit("  NODE "), "p_name", F.lit("  [source=src/"), F.regexp_replace("p_brand", "#", ""), place, F.lit(" junk community="), "p_type", F.lit("] "))
+    noise = p.select(F.col("p_partkey").alias("ord"), F.concat(F.lit("EDGE "), "p_name").alias("value"))
+    return signals.code_nodes(p.select(F.col("p_partkey").alias("ord"), line.alias("value")).union(noise)).select("ord", "name", "source", "location", "community")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

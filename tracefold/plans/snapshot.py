@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import correlate, events as E, patterns as P
+from ..staging import stage
 
 SCHEMA_VERSION = "incident-context/v1"
 # Tokens that the estimate takes for each entry of a section.
@@ -21,7 +22,6 @@ SECTION_TOKENS = {"deltas": 20, "timeline": 18, "metricAnomalies": 18, "infrastr
 MARKER_KINDS = ("deployment", "config", "restart", "feature_flag")
 ANOMALY_STATES = ("NEW", "SPIKE", "DROP", "DISAPPEARED", "STABLE", "CHANGED", "RECOVERED", "MISSING")
 _VERSION = re.compile(r"[A-Za-z0-9._:@/+\-]{1,128}")
-_SECRET = re.compile(r"token|secret|password|authorization|cookie|api_?key", re.I)
 
 
 @dataclass
@@ -88,7 +88,7 @@ def validate(r: Request) -> None:
         url = urlparse(d.get("url") or "")
         if url.scheme not in ("http", "https") or not url.netloc or url.username or url.password:
             raise ValueError("a dashboard needs an absolute http URL without credentials")
-        if any(_SECRET.search(str(k)) or _SECRET.search(str(v)) for k, v in (d.get("variables") or {}).items()):
+        if any(T.looks_secret(str(k)) or T.looks_secret(str(v)) for k, v in (d.get("variables") or {}).items()):
             raise ValueError("dashboard variables must not hold secrets")
     for m in r.markers:
         if m.get("kind") not in MARKER_KINDS:
@@ -110,7 +110,11 @@ def validate(r: Request) -> None:
 
 @dataclass
 class Snapshot:
-    """Lazy tables of the parts that grow with the data, and the scalars."""
+    """Staged tables of the parts that grow with the data, and the scalars.
+
+    The events are read from their source once; all tables are made from a staged
+    copy without messages, and the small ones from staged patterns.
+    """
 
     request: Request
     patterns: DataFrame
@@ -120,21 +124,29 @@ class Snapshot:
     groups: DataFrame
     summary: DataFrame
     entries: DataFrame
+    totals: DataFrame
+
+    def sections(self) -> dict[str, tuple[DataFrame, list]]:
+        """The sections that grow with the data, as tables with their orders; ``to_dict`` shows the same rows."""
+        out = {
+            "patterns": (self.retained.select(*_PATTERN, "cost"), P.ranked(self.retained)),
+            "stackFingerprints": (self.stacks.select(*_STACK), [F.desc("count"), "fingerprint"]),
+            "correlations": (self.groups.select(*_GROUP), [F.desc("confidence"), F.desc("event_count"), "correlation_ref"]),
+            "timeline": (self.entries, ["timestamp", "kind", "service", "fingerprint"]),
+        }
+        return out if self.deltas is None else out | {"deltas": (self.deltas.select(*_DELTA), ["template", "severity"])}
 
     def to_dict(self) -> dict:
         """The snapshot in wire form; what it collects is what it shows."""
         r = self.request
-        shown = lambda df, order: [_wire(x) for x in df.orderBy(*order).collect()]
-        patterns = shown(self.retained.select(*_PATTERN, "cost"), P.ranked(self.retained))
+        tables = self.sections()
+        shown = lambda name: [_wire(x) for x in tables[name][0].orderBy(*tables[name][1]).collect()] if name in tables else []
+        patterns = shown("patterns")
         cost = sum(p.pop("cost") for p in patterns)
         discovered = self.patterns.count()
-        deltas = [] if self.deltas is None else shown(self.deltas.select(*_DELTA), ["template", "severity"])
-        stacks = shown(self.stacks.select(*_STACK), [F.desc("count"), "fingerprint"])
-        groups = shown(self.groups.select(*_GROUP), [F.desc("confidence"), F.desc("event_count"), "correlation_ref"])
-        timeline = sorted([*_side_entries(r), *(_entry(x) for x in self.entries.orderBy("timestamp", "kind", "service", "fingerprint").collect())], key=lambda e: (e["timestamp"], e["kind"], e["service"]))
-        totals = r.events.agg(
-            F.count("*").alias("n"), F.coalesce(F.sum(F.greatest(F.lit(1), F.floor(F.length("message") / 4)) + 12), F.lit(0)).alias("tokens"), T.iso_z(F.max("ts").cast("timestamp")).alias("last"),
-        ).first()
+        deltas, stacks, groups = shown("deltas"), shown("stackFingerprints"), shown("correlations")
+        timeline = sorted([*_side_entries(r), *(_entry(x) for x in self.entries.orderBy(*tables["timeline"][1]).collect())], key=lambda e: (e["timestamp"], e["kind"], e["service"]))
+        totals = self.totals.first()
         sections = {"deltas": deltas, "timeline": timeline, "metricAnomalies": r.anomalies, "infrastructureEvents": r.infrastructure, "grafanaReferences": r.dashboards, "stackFingerprints": stacks, "correlations": groups}
         tokens = P.ENVELOPE + cost + sum(SECTION_TOKENS[k] * len(v) for k, v in sections.items())
         times = [totals["last"], *(m["timestamp"] for m in r.markers), *(a["peakAt"] for a in r.anomalies), *(i["lastSeen"] for i in r.infrastructure)]
@@ -208,11 +220,15 @@ def _side_entries(r: Request) -> list[dict]:
 
 
 def build(r: Request) -> Snapshot:
-    """Plan the snapshot; the events are enriched once and kept while it is used."""
+    """Plan the snapshot over events that are enriched and staged once."""
     validate(r)
-    enriched = E.enrich(r.events).persist()
-    patterns = P.discover(enriched)
-    retained = P.retained(patterns, r.token_budget)
-    groups = correlate.correlation_groups(enriched)
-    deltas = None if r.baseline is None else correlate.deltas(enriched, E.enrich(r.baseline), r.incident_seconds, r.baseline_seconds)
-    return Snapshot(r, patterns, retained, deltas, P.stack_groups(enriched), groups, correlate.correlation_summary(enriched, groups), correlate.pattern_entries(retained, enriched, groups))
+    size = F.length("message")
+    rows = r.events.withColumn("tokens", F.greatest(F.lit(1), F.floor(size / 4)) + 12)
+    enriched = E.staged(rows)
+    totals = enriched.agg(F.count("*").alias("n"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), T.iso_z(F.max("ts").cast("timestamp")).alias("last"))
+    patterns = stage(P.discover(enriched), "patterns")
+    retained = stage(P.retained(patterns, r.token_budget), "retained")
+    groups = stage(correlate.correlation_groups(enriched), "groups")
+    deltas = None if r.baseline is None else stage(correlate.deltas(enriched, E.enrich(r.baseline), r.incident_seconds, r.baseline_seconds), "deltas")
+    entries = correlate.pattern_entries(retained, correlate.pattern_refs(retained, enriched, groups))
+    return Snapshot(r, patterns, retained, deltas, P.stack_groups(enriched), groups, correlate.correlation_summary(enriched, groups), entries, totals)

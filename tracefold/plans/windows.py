@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import copy
-import re
 import time
 from collections import OrderedDict
 from collections.abc import Callable, Hashable, Mapping
@@ -12,7 +11,8 @@ from datetime import datetime, timedelta, timezone
 from typing import Any
 from urllib.parse import urlencode, urlparse
 
-_SECRET = re.compile(r"token|secret|password|authorization|cookie|api_?key", re.I)
+from ..functions import text as T
+
 
 
 def utc(value: datetime) -> datetime:
@@ -73,7 +73,7 @@ def dashboard(base_url: str, uid: str, evidence: dict, panel: int | None = None,
         raise ValueError("dashboard base URL must be absolute http or https")
     if url.username or url.password:
         raise ValueError("dashboard URL credentials are not allowed")
-    safe = {str(k): str(v) for k, v in sorted((variables or {}).items()) if not _SECRET.search(str(k)) and not _SECRET.search(str(v))}
+    safe = {str(k): str(v) for k, v in sorted((variables or {}).items()) if not T.looks_secret(str(k)) and not T.looks_secret(str(v))}
     params = ({"orgId": str(org)} if org is not None else {}) | {f"var-{k}": v for k, v in safe.items()}
     params |= {k: str(int(utc(t).timestamp() * 1000)) for k, t in (("from", start), ("to", end)) if t}
     if panel is not None:
@@ -85,7 +85,7 @@ def dashboard(base_url: str, uid: str, evidence: dict, panel: int | None = None,
 def redacted(value: Any) -> Any:
     """A copy in which values under secret-looking keys are hidden, at any depth."""
     if isinstance(value, Mapping):
-        return {k: "[REDACTED]" if _SECRET.search(str(k)) else redacted(v) for k, v in value.items()}
+        return {k: "[REDACTED]" if T.looks_secret(str(k)) else redacted(v) for k, v in value.items()}
     if isinstance(value, (list, tuple)):
         return type(value)(redacted(v) for v in value)
     return copy.deepcopy(value)
@@ -101,6 +101,16 @@ class Cache:
         self._held: OrderedDict[Hashable, tuple[float, Any]] = OrderedDict()
         self.hits = self.misses = self.evictions = 0
 
+    @staticmethod
+    def key(source: str, query: str, window: Window, scope: str | None = None, revision: str | None = None) -> tuple[str, ...]:
+        """What a query's result is held under; scope and revision are the window's unless given."""
+        iso = lambda t: utc(t).isoformat().replace("+00:00", "Z")
+        return source, query, iso(window.start), iso(window.end), scope or window.scope, window.revision if revision is None else revision
+
+    @property
+    def telemetry(self) -> dict[str, int]:
+        return {"hits": self.hits, "misses": self.misses, "evictions": self.evictions}
+
     def get(self, key: Hashable) -> Any:
         found = self._held.get(key)
         if found and found[0] > self.clock():

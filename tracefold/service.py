@@ -13,12 +13,13 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from typing import Protocol
 from urllib.parse import parse_qs, urlparse
 
 from pyspark.sql import SparkSession
 
 from .plans import disclosure, incident
-from .plans.snapshot import Request, aware, build, evidence
+from .plans.snapshot import Request, Snapshot, aware, build, evidence
 from .session import ship
 from .sources.jsonl import from_rows
 
@@ -47,8 +48,11 @@ class Keys:
         self._callers: dict[str, Caller] = {}
 
     def add(self, key: str, tenant: str, roles: set[str]) -> None:
+        for value, what in ((key, "key"), (tenant, "tenant")):
+            if not value or not str(value).strip():
+                raise ValueError(f"{what} is required")
         digest = hashlib.sha256(key.encode()).hexdigest()
-        self._callers[digest] = Caller(tenant, frozenset(roles), digest[:16])
+        self._callers[digest] = Caller(tenant.strip(), frozenset(roles), digest[:16])
 
     def caller(self, header: str | None) -> Caller:
         kind, _, key = (header or "").partition(" ")
@@ -68,15 +72,22 @@ class Bounds:
     read: int = 50
 
 
+class Authority(Protocol):
+    """Whoever tells callers by their authorization header, or refuses them; ``Keys`` is one."""
+
+    def caller(self, header: str | None) -> Caller: ...
+
+
 @dataclass
 class Service:
     """All state is held per tenant and bounded."""
 
     spark: SparkSession
-    keys: Keys
+    keys: Authority
     sources: incident.Catalog = field(default_factory=incident.Catalog)
     bounds: Bounds = field(default_factory=Bounds)
     clock: Callable[[], float] = time.time
+    builder: Callable[[Request], Snapshot] = build
 
     def __post_init__(self):
         ship(self.spark)
@@ -138,7 +149,7 @@ class Service:
         return {"contextId": key, "tenantId": caller.tenant, "context": snapshot}
 
     def create(self, caller: Caller, body: dict) -> dict:
-        return self.save(caller, build(self.request(body)).to_dict())
+        return self.save(caller, self.builder(self.request(body)).to_dict())
 
     def create_from_sources(self, caller: Caller, body: dict) -> dict:
         try:
