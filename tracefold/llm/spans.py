@@ -139,7 +139,21 @@ def with_text(docs, carried: list[str]):
     from pyspark.sql import functions as F
 
     columns = carried if "text" in carried else [*carried, "text"]
-    return docs.select(*(F.col(c).alias(f"c{k}") for k, c in enumerate(columns))), columns.index("text")
+    return docs.select(*(F.col(quoted(c)).alias(f"c{k}") for k, c in enumerate(columns))), columns.index("text")
+
+
+def quoted(name: str) -> str:
+    """A column's name as it has to be written where it holds dots or other marks."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def restored(carried: list[str] | None):
+    """The carried columns under their names: in a struct ``carried``, so that no name clashes; doc_id alone as it is."""
+    from pyspark.sql import functions as F
+
+    if not carried:
+        return F.col("c0").alias("doc_id")
+    return F.struct(*(F.col(f"c{k}").alias(c) for k, c in enumerate(carried))).alias("carried")
 
 
 class Lookup:

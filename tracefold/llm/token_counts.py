@@ -1,10 +1,9 @@
 """Token counts without token ids.
 
 Every distinct pre-token of the corpus is sent to the tokenizer once.  The
-piece counts of the ``heavy`` most frequent ones are broadcast (a fixed number
-of 12-byte entries) and summed where the text is; what a document holds of all
+piece counts of the most frequent ones, at most ``heavy``, are broadcast (12-byte entries) and summed where the text is; what a document holds of all
 other pre-tokens is joined to the table of counts by a hash shuffle and summed.
-A pre-token outside the broadcast is rarer than ``heavy`` others, so no key of
+A pre-token outside the broadcast is rarer than those in it, so no key of
 that join can be hot.
 
 Edge cases: null text counts as empty and has 0 tokens; equal rows are counted
@@ -21,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import pretokens, spans
-from .shared import stage
+from .shared import in_arrow, share, stage
 
 #: Pre-tokens whose counts are broadcast.
 HEAVY = 1 << 18
@@ -118,32 +117,49 @@ def sizes(text: pa.Array) -> np.ndarray:
     return np.diff(np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1])
 
 
+def most_frequent(counts: DataFrame, most: int, others: bool = False) -> DataFrame:
+    """The rows of the largest ``n``, at most ``most`` of them; or all other rows.
+
+    A table of how many rows have an ``n`` of each size gives the least size that
+    is taken, so no task sorts the rows of others; sizes grow by a ninth or less.
+    """
+    size = F.floor(8 * F.log2("n") + 1e-9).cast("int")
+    total, least = 0, None
+    for r in counts.groupBy(size.alias("size")).agg(F.count("*").alias("rows")).orderBy(F.desc("size")).collect():
+        if total + r.rows > most:
+            break
+        total, least = total + r.rows, r["size"]
+    if least is None:
+        return counts if others else counts.where("false")
+    return counts.where(size < least if others else size >= least)
+
+
 def joined(each: DataFrame, values: DataFrame, carried: list[str], sums: dict) -> DataFrame:
     """Sum the values of every row's listed keys, in one pass over ``each``.
 
     ``each`` has the ``carried`` columns and the lists h and n.  A row's own line
-    goes through the same join under a key of its own that no value has, so the
-    texts are cut once and nothing is written twice.
+    goes through the same join under a hash of its own, and its n is null, so the
+    texts are cut once and nothing is written twice.  A key has one value at most,
+    so should the hash be one of them, the value goes unused.
     """
-    numbered = each.withColumn("row", F.monotonically_increasing_id())
-    own = F.array(F.struct(F.lit(None).cast("long").alias("h"), F.lit(None).cast("int").alias("n"), F.lit(True).alias("own")))
-    listed = F.transform(F.arrays_zip("h", "n"), lambda x: F.struct(x["h"].alias("h"), x["n"].alias("n"), F.lit(False).alias("own")))
-    lines = numbered.select("row", *carried, F.explode(F.concat(own, listed)).alias("x"))
-    only_own = [F.when(F.col("x.own"), F.col(c)).alias(c) for c in carried]
-    lines = lines.select("row", *only_own, F.when(F.col("x.own"), F.hash("row").cast("long")).otherwise(F.col("x.h")).alias("h"), "x.n", "x.own")
-    met = lines.join(values.withColumn("own", F.lit(False)), ["h", "own"], "left")
-    return met.groupBy("row").agg(*(F.max(c).alias(c) for c in carried), *(f.alias(n) for n, f in sums.items()))
+    numbered = each.withColumn("row", F.monotonically_increasing_id()).withColumn("own", F.struct(*carried))
+    none = F.lit(None).cast(numbered.schema["own"].dataType)
+    own = F.array(F.struct(F.xxhash64("row").alias("h"), F.lit(None).cast("int").alias("n"), F.col("own").alias("own")))
+    listed = F.transform(F.arrays_zip("h", "n"), lambda x: F.struct(x["h"].alias("h"), x["n"].alias("n"), none.alias("own")))
+    lines = numbered.select("row", F.explode(F.concat(own, listed)).alias("x")).select("row", "x.h", "x.n", "x.own")
+    met = lines.join(values, "h", "left")
+    return met.groupBy("row").agg(*(F.max(f"own.{c}").alias(c) for c in carried), *(f.alias(n) for n, f in sums.items()))
 
 
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512, heavy: int = HEAVY) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit (n_tokens > ``limit``) of each row of ``docs``."""
     docs = docs.select("doc_id", "text")
-    distinct = docs.select("text").mapInArrow(_distinct(tokenizer), "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    pieces = stage(distinct.mapInArrow(_pieces(tokenizer), "h long, pieces int, n long"), "pieces")
-    top = pieces.orderBy(F.desc("n"), "h").limit(heavy).select("h", "pieces").toArrow()
-    table = docs.sparkSession.sparkContext.broadcast(spans.Lookup(top["h"].to_numpy(), top["pieces"].to_numpy()))
+    distinct = docs.select("text").transform(in_arrow, _distinct(tokenizer), "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    pieces = stage(distinct.transform(in_arrow, _pieces(tokenizer), "h long, pieces int, n long"), "pieces")
+    top = most_frequent(pieces, heavy).select("h", "pieces").toArrow()
+    table = share(docs.sparkSession, spans.Lookup(top["h"].to_numpy(), top["pieces"].to_numpy()))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    each = docs.mapInArrow(_summed(tokenizer, table), f"doc_id {kind}, n_bytes long, known long, h array<long>, n array<int>")
+    each = docs.transform(in_arrow, _summed(tokenizer, table), f"doc_id {kind}, n_bytes long, known long, h array<long>, n array<int>")
     found = joined(each, pieces.select("h", "pieces"), ["doc_id", "n_bytes", "known"], {"rest": F.coalesce(F.sum(F.col("n") * F.col("pieces")), F.lit(0))})
     n = F.col("known") + F.col("rest")
     return found.select("doc_id", "n_bytes", n.alias("n_tokens"), (n > limit).alias("over_limit"))
