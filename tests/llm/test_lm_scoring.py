@@ -27,7 +27,7 @@ def brute(rows):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("options", [{}, {"heavy": 40, "vocabulary": 20}])
+@pytest.mark.parametrize("options", [{}, {"heavy": 40, "most_bits": 1 << 19}])
 def test_base_scores(small, odd, options):
     for docs in (small, odd):
         want = brute([tuple(r) for r in docs.select("doc_id", "text").collect()])
@@ -56,7 +56,7 @@ def test_bigrams_help_held_out_texts(spark):
 
 def test_every_bigram_of_the_corpus_counts(small):
     """What the broadcasts cannot hold is joined: their sizes change no score."""
-    got = [{r.doc_id: r for r in M.lm_scores(small, **o).collect()} for o in ({}, {"most_bits": 1 << 19, "vocabulary": 200}, {"heavy": 100, "vocabulary": 50})]
+    got = [{r.doc_id: r for r in M.lm_scores(small, **o).collect()} for o in ({}, {"most_bits": 1 << 19}, {"heavy": 100}, {"heavy": 100, "most_bits": 1 << 19})]
     for other in got[1:]:
         for k, r in got[0].items():
             assert abs(r.score - other[k].score) <= 0.003 * abs(r.score)
@@ -75,12 +75,39 @@ def test_filter_has_every_count_and_few_false_ones():
 
 
 def test_pieces_make_the_whole_filter(spark):
-    rows = [(k * 7919 + 3, 2 + k % 50) for k in range(30_000)]
-    f = M.build_filter(spark.createDataFrame(rows, "key long, n long"), 1 << 21)
-    assert len(f.table) * 64 == 1 << 21
-    kept = [r for r in rows if f.counts(np.array([r[0]], np.uint64))[0] >= r[1] / 1.5]
-    assert 5_000 < len(kept) < len(rows)  # the most frequent fit
-    assert {r[1] for r in kept} >= set(range(40, 52))
+    rows = [(k * 7919 + 3, k % 11, 2 + k % 50) for k in range(30_000)]
+    h, w, n = np.array(rows).T
+    f = M.build_filter(spark.createDataFrame(rows, "h long, w long, n long"), 1 << 20)
+    assert len(f.table) * 64 == 1 << 20 and f.least > 1
+    kept = f.counts(M.pair_key(h, w)) >= n / 1.5
+    assert kept[n >= 2**f.least].all() and not kept.all()  # the most frequent fit
+    f = M.build_filter(spark.createDataFrame(rows, "h long, w long, n long"), 1 << 23)
+    assert f.least == 1 and (f.counts(M.pair_key(h, w)) >= n / 1.5).all()
+
+
+def test_scores_against_brute_force(small):
+    """The interpolated score of every text, from exact counts and the fitted weights."""
+    rows = [tuple(r) for r in small.select("doc_id", "text").collect()]
+    held = lambda k: zlib.crc32(str(k).encode()) % 7 == 2
+    one, two = Counter(), Counter()
+    for k, t in rows:
+        if not held(k):
+            w = words(t)
+            one.update(w)
+            two.update(zip([None, *w], w))
+    n, v = sum(one.values()), len(one)
+    docs = small.withColumn("doc_id", small["doc_id"])
+    _, model = M.learn(docs.where(M.fold("doc_id", 7) != 2), heavy=200)
+    assert (model.n, model.v) == (n, v)
+    for r in M.score(docs, *M.learn(docs.where(M.fold("doc_id", 7) != 2), heavy=200)).collect():
+        w = words(dict(rows)[r.doc_id])
+        want = 0.0
+        for before, word in zip([None, *w], w):
+            a = model.weights[M.bucket_of(np.array([one[before]]))[0]]
+            c = two[before, word]
+            share = min(1, M.Filter.value(M.Filter.level(np.array([c])))[0] / one[before]) if c > 1 else 0
+            want += math.log10(a * share + (1 - a) * (one[word] + 1) / (n + v + 1))
+        assert abs(r.score - want) <= 0.003 * abs(want)
 
 
 def test_empty_table(none):

@@ -1,28 +1,30 @@
 """Language-model scores from a log-frequency Bloom filter.
 
 Tokens are the words between white space, A-Z lower-cased, and one end behind
-each text.  Unigram counts are exact: the ``heavy`` most frequent tokens are
-broadcast (a fixed number of entries), all others are joined by a hash shuffle.
-
-All bigrams are counted over all training texts, by the pair of their tokens'
-ranks (of frequent tokens) or hashes (of all others).  Counts of two and more are
-quantised by factors of the square root of two.  Where both tokens are of the
-``vocabulary`` most frequent, the most frequent bigrams are held in a blocked
-Bloom filter that is broadcast: a bigram of level q is put in once for each level
+each text.  Unigram counts are exact: the most frequent tokens, at most ``heavy``,
+are broadcast, all others are joined by a hash shuffle.
+
+All bigrams are counted over all training texts: a task hands on its distinct
+pairs of tokens (ranks of frequent ones, hashes of all others) as packed arrays, one
+for each *cell* of the hash space, and cells are summed by vectorised code.
+Counts of two and more are quantised by factors of two and put into a blocked Bloom
+filter that is broadcast, the most frequent first: a bigram of level q is put in once for each level
 up to q, and a lookup probes level after level until one is missing, which gives
 the largest level that may be there; false hits can only raise a count.  The
 filter has at most ``most_bits`` bits and takes whole levels from the top down
-while each entry has 16 bits or more; a lookup under its least level is a miss.
+while each entry has 16 bits or more; a lookup under its least level says nothing.
 It is built in pieces, each from the bigrams whose blocks lie in it.
 
-No bigram is dropped: all that the filter does not hold are joined by a shuffle.
+No bigram of two or more is dropped: those of levels that the filter has no room for are
+joined by a shuffle, as are the hits of rare tokens, whose counts only the join knows.
 P(w | h) = a(h) c(h, w) / c(h) + (1 - a(h)) (c(w) + 1) / (N + V + 1), so a text's
 score is the sum of its tokens' own parts, log (1 - a) (c + 1) / (N + V + 1) (each
 token is a history once), and of log (1 + a(h) c(h, w) / c(h) / ((1 - a(h)) P(w)))
 for each bigram.  One join brings both, in one shuffle with the
 rare tokens' counts; no key can be hot, as the frequent ones are in the broadcasts.
 The weight a(h) depends on the size of c(h) and is fitted by expectation
-maximisation on about ``aside`` training texts whose bigrams were not counted.
+maximisation on one training text in ``ASIDE``, told by a hash of doc_id: for the fit their
+bigrams are not counted, afterwards they are.
 
 Edge cases: null text is empty, its end alone; rows without doc_id are scored
 but not learned from; with nothing to learn from every token has the same
@@ -39,18 +41,20 @@ from pyspark.sql import functions as F
 
 from . import spans
 from .language_id import fold
-from .shared import stage
-from .token_counts import joined
+from .shared import in_arrow, share, stage
+from .token_counts import joined, most_frequent
 
-HEAVY, VOCABULARY = 1 << 18, 1 << 16
-MOST_BITS, ENTRY_BITS, BLOCK_BITS, PIECE_BITS, PROBES = 1 << 27, 16, 512, 1 << 19, 8
-#: Keys a task holds before it hands on its counts.
-HELD, HELD_PAIRS = 1 << 22, 3 << 20
+HEAVY, ASIDE = 1 << 18, 32
+MOST_BITS, ENTRY_BITS, BLOCK_BITS, PIECE_BITS, PROBES = 1 << 28, 16, 512, 1 << 19, 8
+#: Keys a task holds before it hands on its counts, and tokens whose bigrams make a cell.
+HELD, HELD_PAIRS, CELL = 1 << 22, 3 << 20, 1 << 20
 
 _U = np.uint64
 SIGN = _U(1 << 63)
 END = spans.mix(np.array([0xE0F], _U))[0]
 _BUCKETS = 40
+#: A level's mean count, in its least one.
+MEAN = 1.3
 
 
 def tokens(column: pa.Array):
@@ -113,23 +117,49 @@ def pair_key(h: np.ndarray, w: np.ndarray) -> np.ndarray:
     return spans.mix(h.view(_U) + spans.mix(w.view(_U)))
 
 
-def _pairs(shared):
-    """(h, w, n, m) of a task's bigrams: how often in texts that count, and in those set aside."""
+def cell_of(key: np.ndarray, cells: int) -> np.ndarray:
+    """The cell of each key; in the order of the keys."""
+    return (((key >> _U(32)) * _U(cells)) >> _U(32)).astype(np.int64)
+
+
+def _reduced(h: np.ndarray, w: np.ndarray, *counts: np.ndarray):
+    """(key, h, w, counts) of the distinct pairs, by key."""
+    key = pair_key(h, w)
+    order = np.argsort(key)
+    key = key[order]
+    at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+    first = order[at]
+    return key[at], h[first], w[first], *(np.add.reduceat(x[order], at) if len(at) else x for x in counts)
+
+
+_PACKED = "cell long, known binary, known_n binary, known_m binary, h binary, w binary, n binary, m binary"
+
+
+def _pairs(shared, cells: int):
+    """A task's bigrams by cell, with how often each is in texts that count and in those set aside.
+
+    Pairs of known tokens take eight bytes, those of others sixteen.
+    """
+
+    def packed(key, h, w, n, m):
+        cell = cell_of(key, cells)
+        cuts = np.concatenate(([0], np.flatnonzero(np.diff(cell)) + 1, [len(cell)])) if len(cell) else np.zeros(1, np.int64)
+        both = np.minimum(h, w) >= 0
+        rank = (h << 32) | w
+        rows = []
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            k, r = both[a:b], ~both[a:b]
+            rows.append([rank[a:b][k], n[a:b][k], m[a:b][k], h[a:b][r], w[a:b][r], n[a:b][r], m[a:b][r]])
+        kinds = (np.int64, np.int32, np.int32, np.int64, np.int64, np.int32, np.int32)
+        columns = [pa.array([row[c].astype(kind).tobytes() for row in rows], pa.binary()) for c, kind in enumerate(kinds)]
+        return pa.RecordBatch.from_arrays([pa.array(cell[cuts[:-1]]), *columns], [x.split()[0] for x in _PACKED.split(", ")])
 
     def run(batches):
         held, size = [], 0
 
         def merged():
             h, w, n, m = (np.concatenate(x) for x in zip(*held)) if held else np.zeros((4, 0), np.int64)
-            key = pair_key(h, w)
-            order = np.argsort(key)
-            key = key[order]
-            at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
-            first = order[at]
-            return h[first], w[first], *(np.add.reduceat(x[order], at) if len(at) else x for x in (n, m))
-
-        def batch_of(h, w, n, m):
-            return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (h, w, n, m)], ["h", "w", "n", "m"])
+            return _reduced(h, w, n, m)
 
         for batch in batches:
             aside = batch.column(1).to_numpy(zero_copy_only=False)
@@ -139,16 +169,27 @@ def _pairs(shared):
                 held.append((histories(w, offsets), w, 1 - apart, apart))
                 size += len(w)
                 if size > HELD_PAIRS:
-                    held = [merged()]
-                    size = len(held[0][0])
+                    key, *held_now = merged()
+                    held, size = [tuple(held_now)], len(key)
                     if size > HELD_PAIRS // 2:
-                        yield batch_of(*held[0])
+                        yield packed(key, *held_now)
                         held, size = [], 0
-        yield batch_of(*merged())
+        yield packed(*merged())
 
     return run
 
 
+def _cell(table: pa.Table) -> pa.Table:
+    """(h, w, n, m) of a cell's bigrams that occur twice, or in a text set aside."""
+    of = lambda c, kind: np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, kind) for x in table[c].to_pylist())])
+    rank = of("known", np.int64)
+    h, w = np.concatenate((rank >> 32, of("h", np.int64))), np.concatenate((rank & 0xFFFFFFFF, of("w", np.int64)))
+    n, m = (np.concatenate((of(f"known_{c}", np.int32), of(c, np.int32))).astype(np.int64) for c in ("n", "m"))
+    _, h, w, n, m = _reduced(h, w, n, m)
+    some = (n + m > 1) | (m > 0)
+    return pa.table({c: pa.array(x[some]) for c, x in zip("hwnm", (h, w, n, m))})
+
+
 class Filter:
     """Quantised counts of keys in blocks of 512 bits."""
 
@@ -159,12 +200,13 @@ class Filter:
 
     @staticmethod
     def level(n: np.ndarray) -> np.ndarray:
-        """1 for a count of two, 2 from the root of eight, and so on."""
-        return np.floor(2 * np.log2(n) + 1e-9).astype(np.int64) - 1
+        """1 for a count of two, 2 from four, and so on; 0 for a single one."""
+        return np.floor(np.log2(n) + 1e-9).astype(np.int64)
 
     @staticmethod
     def value(level: np.ndarray) -> np.ndarray:
-        return np.where(level > 0, 2 ** ((level + 1) / 2), 0)
+        """About the mean of a level's counts, of which small ones are more."""
+        return np.where(level > 0, MEAN * 2.0**level, 0)
 
     @staticmethod
     def block_of(key: np.ndarray, blocks: int) -> np.ndarray:
@@ -204,11 +246,11 @@ class Filter:
 
 def _level(n: str):
     """``Filter.level`` as a column."""
-    return F.floor(2 * F.log2(n) + 1e-9).cast("long") - 1
+    return F.floor(F.log2(n) + 1e-9).cast("long")
 
 
 def build_filter(grams: DataFrame, most_bits: int) -> Filter:
-    """From (key, n), the most frequent first."""
+    """From (h, w, n), the most frequent first."""
     level = _level("n")
     sizes = grams.groupBy(level.alias("level")).agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect()
     total, least = 0, 10**9
@@ -216,6 +258,8 @@ def build_filter(grams: DataFrame, most_bits: int) -> Filter:
         if r.level < 1 or (total + r.n * r.level) * ENTRY_BITS > most_bits:
             break
         total, least = total + r.n * r.level, r.level
+    else:
+        least = 1  # all are held
     bits = min(most_bits, max(PIECE_BITS, 1 << int(total * ENTRY_BITS).bit_length()))
     blocks, per_piece = bits // BLOCK_BITS, PIECE_BITS // BLOCK_BITS
     found = Filter(bits)
@@ -223,8 +267,8 @@ def build_filter(grams: DataFrame, most_bits: int) -> Filter:
 
     def placed(batches):
         for batch in batches:
-            block = Filter.block_of(batch.column(0).to_numpy().view(_U), blocks)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((block // per_piece).astype(np.int32))], ["key", "n", "piece"])
+            key = pair_key(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(2), pa.array((Filter.block_of(key, blocks) // per_piece).astype(np.int32))], ["key", "n", "piece"])
 
     def piece(key, table):
         at, one = key[0].as_py(), Filter(PIECE_BITS)
@@ -232,7 +276,7 @@ def build_filter(grams: DataFrame, most_bits: int) -> Filter:
         one.add(k, Filter.block_of(k, blocks) - at * per_piece, table["n"].to_numpy())
         return pa.table({"piece": pa.array([at], pa.int32()), "bits": pa.array([one.table.tobytes()], pa.binary())})
 
-    for r in grams.where(level >= least).mapInArrow(placed, "key long, n long, piece int").groupBy("piece").applyInArrow(piece, "piece int, bits binary").toLocalIterator():
+    for r in grams.where(level >= least).transform(in_arrow, placed, "key long, n long, piece int").groupBy("piece").applyInArrow(piece, "piece int, bits binary").toLocalIterator():
         found.table[r.piece * (PIECE_BITS // 64) : (r.piece + 1) * (PIECE_BITS // 64)] = np.frombuffer(bytes(r.bits), _U)
     return found
 
@@ -240,8 +284,8 @@ def build_filter(grams: DataFrame, most_bits: int) -> Filter:
 class Model:
     """What a worker needs: frequent tokens with count and rank, the filter, sizes and weights."""
 
-    def __init__(self, known: spans.Lookup, bigrams: Filter, vocabulary: int, n: int, v: int):
-        self.known, self.bigrams, self.vocabulary, self.n, self.v = known, bigrams, vocabulary, n, v
+    def __init__(self, known: spans.Lookup, bigrams: Filter, n: int, v: int):
+        self.known, self.bigrams, self.n, self.v = known, bigrams, n, v
         self.weights = np.zeros(_BUCKETS)
         counts, rank = known.values
         self.by_rank = np.zeros(len(rank) + 1)
@@ -255,7 +299,7 @@ class Model:
         return (count + 1) / (self.n + self.v + 1)
 
     def look(self, h: np.ndarray, offsets: np.ndarray):
-        """For each token: known, its own and its bigram's part of the score, the unigram's log; and which bigrams the filter does not hold, with keys."""
+        """For each token: known, its own and its bigram's part of the score, the unigram's log; and which bigrams have to be joined, with keys."""
         w = identities(self.known, h)
         before, found = histories(w, offsets), w >= 0
         base = np.where(found, np.log10(self.single(self.counts(w))), 0)
@@ -263,15 +307,15 @@ class Model:
         a = self.weights[bucket_of(count)]
         # a rare token's own part is joined later, as is that of its being a history
         logs = base + np.where(before >= 0, np.log10(1 - a), 0)
-        both = np.flatnonzero((np.minimum(w, before) >= 0) & (np.maximum(w, before) < self.vocabulary))
-        n = np.zeros(len(h))
-        n[both] = self.bigrams.counts((before[both].astype(_U) << _U(32)) | w[both].astype(_U))
-        hit = np.flatnonzero(n)
+        key = pair_key(before, w)
+        n = self.bigrams.counts(key)
+        both = np.minimum(w, before) >= 0
+        hit = np.flatnonzero((n > 0) & both)
         share = np.minimum(1, n[hit] / count[hit])
         logs[hit] += np.log10(1 + a[hit] * share / ((1 - a[hit]) * self.single(self.counts(w[hit]))))
         # a known history of weight 0 makes nothing of its bigrams
-        rest = np.flatnonzero((n == 0) & ((before < 0) | (a > 0)))
-        return found, logs, base, rest, pair_key(before[rest], w[rest])
+        rest = np.flatnonzero(np.where(n > 0, ~both, self.bigrams.least > 1) & ((before < 0) | (a > 0)))
+        return found, logs, base, rest, key[rest]
 
     def fit(self, bucket: np.ndarray, share: np.ndarray, single: np.ndarray, times: np.ndarray, rounds: int = 30) -> None:
         """Weights by bucket of the history's count, from lines that occur so many ``times``; bucket 0 is a history that was not seen."""
@@ -299,8 +343,9 @@ def _bucket(count):
     return F.least(F.lit(_BUCKETS - 1), (F.floor(F.log2(F.greatest(F.lit(1), count))) + (count > 0).cast("int")).cast("int"))
 
 
-def _frequent(counts: DataFrame, heavy: int) -> spans.Lookup:
-    top = counts.orderBy(F.desc("n"), "key").limit(heavy).select("key", "n").toArrow()
+def _known(counts: DataFrame, heavy: int) -> spans.Lookup:
+    """The most frequent tokens with count and rank."""
+    top = most_frequent(counts, heavy).select("key", "n").toArrow()
     n = top["n"].to_numpy()
     order = np.lexsort((top["key"].to_numpy(), -n))
     rank = np.empty(len(n), np.int64)
@@ -308,36 +353,38 @@ def _frequent(counts: DataFrame, heavy: int) -> spans.Lookup:
     return spans.Lookup(top["key"].to_numpy(), n, rank)
 
 
-def learn(docs: DataFrame, heavy: int = HEAVY, vocabulary: int = VOCABULARY, most_bits: int = MOST_BITS, aside: int = 400) -> tuple[DataFrame, Model]:
-    """The joined part (h, c of a token, more of a bigram that the filter does not hold), and the model, from all of ``docs``."""
+def learn(docs: DataFrame, heavy: int = HEAVY, most_bits: int = MOST_BITS) -> tuple[DataFrame, Model]:
+    """The joined part (h, c of a token, more of a bigram that is joined), and the model, from all of ``docs``."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    counts = stage(docs.select("text").mapInArrow(_summed(_unigrams), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "unigrams")
+    counts = stage(docs.select("text").transform(in_arrow, _summed(_unigrams), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "unigrams")
     sizes = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    known = _frequent(counts, heavy)
-    shared = spark.sparkContext.broadcast(known)
-    share = min(0.05, aside / max(1, docs.count()))
-    is_aside = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20)) < share * (1 << 20)
-    each = docs.select("text", is_aside.alias("aside")).mapInArrow(_pairs(shared), "h long, w long, n long, m long")
-    grams = stage(each.groupBy("h", "w").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).where("n >= 2 or m > 0"), "bigrams")
-
-    within = F.least("h", "w").between(0, vocabulary - 1) & F.greatest("h", "w").between(0, vocabulary - 1)
-    held = build_filter(grams.where(within & (F.col("n") >= 2)).select((F.shiftleft("h", 32) + F.col("w")).alias("key"), "n"), most_bits)
-    model = Model(known, held, vocabulary, sizes.n or 0, sizes.v)
-    part = F.when(F.col("n") >= 2, F.least(F.lit(1.0), F.pow(F.lit(2.0), (_level("n") + 1) / 2) / F.col("ch"))).otherwise(0.0)
+    known = _known(counts, heavy)
+    shared = share(spark, known)
+    is_aside = F.coalesce(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(ASIDE)) == 0, F.lit(False))
+    cells = max(1, (sizes.n or 0) // CELL)
+    each = docs.select("text", is_aside.alias("aside")).transform(in_arrow, _pairs(shared, cells), _PACKED)
+    grams = stage(each.groupBy("cell").applyInArrow(_cell, "h long, w long, n long, m long"), "bigrams")
+
+    whole = grams.withColumn("n", F.col("n") + F.col("m")).where("n >= 2")
+    held = build_filter(whole.select("h", "w", "n"), most_bits)
+    model = Model(known, held, sizes.n or 0, sizes.v)
+    part = F.when(F.col("n") >= 2, F.least(F.lit(1.0), MEAN * F.pow(F.lit(2.0), _level("n")) / F.col("ch"))).otherwise(0.0)
     single = (F.col("cw") + 1) / F.lit(float(model.n + model.v + 1))
 
     # one line for each bucket and pair of probabilities, to one digit of their logs
     lines = [_bucket(F.col("ch")).alias("bucket"), F.round(F.log(F.greatest(part, F.lit(1e-12))), 1).alias("part"), F.round(F.log(single), 1).alias("single")]
     seen = _with_counts(grams.where("m > 0"), counts, shared).groupBy(*lines).agg(F.sum("m").alias("m")).toArrow()
     if len(seen):
-        bucket, share, one, times = (c.to_numpy() for c in seen.columns)
-        model.fit(bucket, np.where(share > -27.5, np.exp(share), 0), np.exp(one), times)
+        bucket, share_of, one, times = (c.to_numpy() for c in seen.columns)
+        model.fit(bucket, np.where(share_of > -27.5, np.exp(share_of), 0), np.exp(one), times)
 
     a = model.weight(F.col("ch"))
-    rest = _with_counts(grams.where((F.col("n") >= 2) & ~(within & (_level("n") >= held.least))), counts, shared)
+    rest = _with_counts(whole.where((_level("n") < held.least) | (F.least("h", "w") < 0)), counts, shared)
     more = rest.where(a > 0).select(F.col("key").alias("h"), F.lit(None).cast("long").alias("c"), F.log10(1 + a * part / ((1 - a) * single)).alias("more"))
-    return counts.select(F.col("key").alias("h"), F.col("n").alias("c"), F.lit(None).cast("double").alias("more")).unionByName(more), model
+    # the counts of known tokens are in the broadcast
+    rare = most_frequent(counts, heavy, others=True)
+    return rare.select(F.col("key").alias("h"), F.col("n").alias("c"), F.lit(None).cast("double").alias("more")).unionByName(more), model
 
 
 def _with_counts(grams: DataFrame, counts: DataFrame, shared) -> DataFrame:
@@ -352,7 +399,7 @@ def _with_counts(grams: DataFrame, counts: DataFrame, shared) -> DataFrame:
             c = [pa.array(by_rank[np.maximum(x, 0)], mask=x < 0) for x in (h, w)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pair_key(h, w).view(np.int64)), *c], ["h", "w", "n", "m", "key", "ch", "cw"])
 
-    of = lambda t: t.select("h", "w", "n", "m").mapInArrow(run, "h long, w long, n long, m long, key long, ch long, cw long")
+    of = lambda t: t.select("h", "w", "n", "m").transform(in_arrow, run, "h long, w long, n long, m long, key long, ch long, cw long")
     some_rare = F.least("h", "w") < 0
     rare = of(grams.where(some_rare))
     for side in ("h", "w"):
@@ -365,7 +412,7 @@ def _with_counts(grams: DataFrame, counts: DataFrame, shared) -> DataFrame:
 
 def score(docs: DataFrame, values: DataFrame, model: Model) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score and score of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = share(docs.sparkSession, model)
 
     def run(batches):
         model = shared.value
@@ -392,7 +439,7 @@ def score(docs: DataFrame, values: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, (*size, *sums)), *rest], ["doc_id", "n_tokens", "known", "base", "logs", "h", "n"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    each = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, known long, base double, logs double, h array<long>, n array<int>")
+    each = docs.select("doc_id", "text").transform(in_arrow, run, f"doc_id {kind}, n_tokens long, known long, base double, logs double, h array<long>, n array<int>")
     n, c = F.col("n"), F.coalesce("c", F.lit(0))
     one = F.log10((c + 1) / F.lit(float(model.n + model.v + 1)))
     sums = {
