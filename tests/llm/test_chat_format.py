@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -98,3 +99,99 @@ def test_no_keyword_is_passed_over():
         assert not C.undecided(schema)
     for key in ("pattern", "anyOf", "oneOf", "not", "$ref"):
         assert C.undecided({"properties": {"a": {"items": {key: 1}}}})
+
+
+def transcripts(seed):
+    """Random conversations with cycles, orphans, repeats, nulls, odd strings, deep nesting and broken JSON."""
+    rng = random.Random(seed)
+    names, rows = ["f", "g", "unknown"], []
+    odd = ["\\ud800", "é\\u001f", "a\\\"b", "", "\\u0000", "x" * 50]
+    deep = "[" * 3000 + "]" * 3000
+    for conv in [None, *range(25)]:
+        ids = [f"c{k}" for k in range(rng.randint(1, 6))] + ["\\ud83d"]
+        for turn in range(rng.randint(1, 12)):
+            kind = rng.random()
+            if kind < 0.35:
+                calls = ",".join(
+                    '{"id":"%s","name":"%s","arguments":%s,"depends_on":[%s]}'
+                    % (rng.choice(ids), rng.choice(names), rng.choice(['{"n": 3}', '{"n": "x"}', '"{\\"n\\": 1}"', "null", "1" * 400, '{"n": %s}' % ("9" * 400), "1e999"]), ",".join(f'"{i}"' for i in rng.sample(ids, rng.randint(0, 2))))
+                    for _ in range(rng.randint(0, 3))
+                )
+                text = '{"tool_calls":[%s],"content":"%s"}' % (calls, rng.choice(odd))
+            elif kind < 0.7:
+                text = '{"tool_call_id":"%s","content":"%s"}' % (rng.choice([*ids, "lost"]), rng.choice(odd))
+            else:
+                text = rng.choice([None, "", "{", "plain", '{"tool_call_id": NaN}', '{"tool_calls": [{"id": 1}]}', '{"tool_call_id": "c0", "content": %s}' % deep, '{"a": %s}' % deep])
+            rows.append((conv, rng.choice([turn, turn, turn, None]), rng.choice(["user", "tool", None, "rôle\u0007"]), text))
+            if rng.random() < 0.1:
+                rows.append(rows[-1])
+    return rows
+
+
+def brute(rows, tools):
+    """Links, order and validity by plain loops."""
+    every = [{"conv": c, "turn": t, "row": k, **i} for k, (c, t, r, x) in enumerate(rows) for i in C.items(x, r)]
+    calls = [i for i in every if i["kind"] == "call"]
+    results = [i for i in every if i["kind"] == "result"]
+    needs = {}
+    least = lambda i: (i["turn"] is not None, i["turn"] or 0, i["row"], i["item"])
+    for r in results:
+        mine = [c for c in calls if (c["conv"], c["id"]) == (r["conv"], r["id"])]
+        r["link"] = "linked" if mine else "orphan"
+        needs[id(r)] = [min(mine, key=least)] if mine else []
+    for c in calls:
+        c["link"] = "linked" if any((c["conv"], c["id"]) == (r["conv"], r["id"]) for r in results) else "open"
+        needs[id(c)] = [r for r in results if r["conv"] == c["conv"] and r["id"] in c["needs"]]
+        schema = tools.get(json.loads(c["name"]))
+        found = None if schema is None else C.problems(json.loads(c["arguments"]), schema) or (None if C.undecided(schema) else [])
+        c["valid"] = None if found is None else not found
+    place = {}
+    while True:
+        free = [i for i in calls + results if id(i) not in place and all(id(n) in place for n in needs[id(i)])]
+        if not free:
+            break
+        now = {}
+        for i in free:
+            before = [place[id(n)] for n in needs[id(i)]]
+            some = [p for p in (i["turn"], *(b[0] for b in before)) if p is not None]
+            now[id(i)] = (max(some) if some else None, max((b[1] + 1 for b in before), default=0))
+        place |= now
+    out = []
+    for i in every:
+        if i["kind"] != "schema":
+            linked = i["kind"] != "message"
+            position, depth = place.get(id(i), (i["turn"], 0)) if linked else (i["turn"], 0)
+            out.append((i["conv"], i["turn"], i["item"], i["kind"], position, depth, linked and id(i) not in place, i.get("link"), i.get("valid"), i["json"]))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_against_brute_force(spark, seed):
+    rows = transcripts(seed)
+    tools = {"f": {"type": "object", "properties": {"n": {"type": "integer"}}}, "g": {"type": {"bad": 1}, "enum": 5, "required": [["x"]], "properties": {"n": {"maximum": 4}}}}
+    got = C.format_chat(spark.createDataFrame(rows, MESSAGES).repartition(3), tools).drop("problems").collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute(rows, tools)
+    assert any(r.cyclic for r in got) and {r.link for r in got} == {None, "linked", "orphan", "open"}
+    for r in got:
+        json.loads(r.json)
+
+
+def test_schemas_of_any_form():
+    for schema in ({"enum": 5}, {"type": {"a": 1}}, {"type": ["x"]}, {"required": [["a"]]}, {"properties": 3}, {"items": 3}, {"allOf": {}}, {"multipleOf": 0}, {"minimum": "1"}, {"uniqueItems": 1}, 5, "x", [1]):
+        assert C.problems({"a": [1, 2]}, schema) == [] and C.undecided(schema)
+    assert C.problems({"a": 1}, {"properties": {"a": False}}) == ["$.a: false"] and not C.undecided({"properties": {"a": False, "b": True}})
+    assert C.problems(10**400, {"type": "integer", "minimum": 1.5, "multipleOf": 10}) == []
+    assert C.problems(float("inf"), {"type": "number"}) == ["$: type"] and C.problems(float("inf"), {"multipleOf": 2}) == []
+    assert C.problems(True, {"enum": [1]}) == ["$: enum"] and C.problems(1.0, {"enum": [1]}) == []
+    assert C.canonical({"\ud800": "\x1f"}) == '{"\\ud800":"\\u001f"}'
+
+
+def test_long_chain(spark):
+    """A call waits for the result of the one before: order follows the chain though the turns run backwards."""
+    rows = []
+    for k in range(12):
+        rows.append((1, 100 - 2 * k, "assistant", call((f"c{k}", "f", {}, [f"c{k - 1}"] if k else None))))
+        rows.append((1, 99 - 2 * k, "tool", result(f"c{k}", str(k))))
+    got = [r for r in C.format_chat(spark.createDataFrame(rows, MESSAGES)).collect() if r.kind != "message"]
+    order = [(json.loads(r.json).get("id") or json.loads(r.json)["tool_call_id"], r.kind) for r in sorted(got, key=lambda r: (r.position, r.depth, r.turn, r.item))]
+    assert order == [(f"c{k}", kind) for k in range(12) for kind in ("call", "result")]
