@@ -1,11 +1,15 @@
 """Quality rules with thresholds that follow each language and source.
 
-Five measures are taken of every text.  Their quartiles come from mergeable
+Four measures are taken of every text.  Their quartiles come from mergeable
 KLL quantile sketches, one set for each (lang, source), for each lang and for
 all rows; a group of fewer than ``least`` rows uses its language's, and a small
 language all rows'.  A document is dropped when a measure lies further from its
-group's quartiles than ``reach`` times their distance, which is taken as the
-measure's ``grain`` at least.  One repetition is the step in which repeats are
+group's quartiles than ``reach`` times their distance, and than ``STEPS`` of the
+measure's own steps in the group: what one more repeated line, one more repeated
+window or one more symbol in each line makes in a text of median length, which
+the sketches tell as well.  Words have no usual length of zero, so where a group hardly varies in it
+(copies of one text, say) half the distance in its language counts.  No threshold is a fixed number.
+One repetition is the step in which repeats are
 counted, so repeated lines and words are judged beyond one repeated line and one
 repeated passage (its two places); the counts and the base rule take all.
 
@@ -20,102 +24,115 @@ table gives an empty table; other columns are ignored.
 
 from __future__ import annotations
 
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import spans
+from .shared import in_arrow, stage
 
-from .shared import stage
-
-_SYMBOLS = "#*$%&|<>"
-_BLANKS = " \t\n\x0b\x0c\r"
+_SYMBOL = np.zeros(256, bool)
+_SYMBOL[list(b"#*$%&|<>")] = True
+# of a character's bytes the first counts
+_FIRST = (np.arange(256) & 0xC0) != 0x80
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+_MORE = ("n_lines", "n_more_repeats")
+WINDOW = 5
+#: Steps of a measure that are never an outlier.
+STEPS = 2
 
-#: Measure, least distance of its quartiles that counts, and whether low values are judged too.
+#: Measure, its step in a text of median length, and whether low values are judged too.
 MEASURES = {
-    "symbol_share": ("n_symbols / greatest(word_chars, 1)", 0.02, False),
-    "word_length": ("word_chars / greatest(n_words, 1)", 0.25, True),
-    "dup_line_share": ("greatest(n_dup_lines - 1, 0) / greatest(n_lines, 1)", 0.025, False),
-    "repeat_share": ("n_more_repeats / greatest(n_words, 1)", 0.01, False),
+    "symbol_share": ("n_symbols / greatest(word_chars, 1)", "n_lines / word_chars", False),
+    "word_length": ("word_chars / greatest(n_words, 1)", "1 / n_words", True),
+    "dup_line_share": ("greatest(n_dup_lines - 1, 0) / greatest(n_lines, 1)", "1 / n_lines", False),
+    "repeat_share": ("n_more_repeats / greatest(n_words, 1)", f"{WINDOW} / n_words", False),
 }
-
-
-def measure(text: str) -> tuple[int, int, int, int, int, int, int]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, the number of lines with a word, and the repeated words beyond one repetition."""
-    words = text.encode().split()
-    seen: set[str] = set()
-    lines = dup = 0
-    for line in text.split("\n"):
-        if line.strip(_BLANKS):
-            lines += 1
-            dup += line in seen
-            seen.add(line)
-    chars = len(text) - sum(text.count(c) for c in _BLANKS)
-    return len(words), chars, sum(text.count(c) for c in _SYMBOLS), dup, sum(runs := repeated_runs(words)), lines, sum(sorted(runs)[:-2])
-
-
-def repeated_words(words: list[bytes], n: int = 5) -> int:
-    """Words inside a window of ``n`` words that occurs twice or more."""
-    return sum(repeated_runs(words, n))
-
-
-def repeated_runs(words: list[bytes], n: int = 5) -> list[int]:
-    """The lengths of the passages that such windows cover."""
-    first: dict[tuple, int] = {}
-    hit: set[int] = set()
-    for at, window in enumerate(zip(*(words[k:] for k in range(n)))):
-        if (before := first.setdefault(window, at)) != at:
-            hit.add(at)
-            hit.add(before)
-    runs: list[int] = []
-    ends = -1
-    for at in sorted(hit):
-        if at <= ends:
-            runs[-1] += at + n - ends
-        else:
-            runs.append(n)
-        ends = at + n
-    return runs
+#: What a text's length is told by.
+_LENGTHS = ("n_words", "word_chars", "n_lines")
+
+
+def measures(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A line for each of ``_COUNTS``, the number of lines with a word, and the repeated words beyond one repetition, of a block's texts."""
+    n = len(offsets) - 1
+    a, b = spans.white_words(data, offsets)
+    row = spans.rows_of(offsets, a)
+    per_row = lambda mask: np.diff(np.concatenate(([0], np.cumsum(mask)))[offsets])
+    x, y = spans.runs(data != 10, offsets)
+    inked = np.concatenate(([0], np.cumsum(~spans.WHITE[data])))
+    some = inked[y] > inked[x]
+    x, y = x[some], y[some]
+    line_row = spans.rows_of(offsets, x)
+    lines = np.bincount(line_row, minlength=n)
+    distinct = np.bincount(spans.counted(line_row, spans.hashes(data, x, y))[0], minlength=n)
+    repeated, more = _repeats(spans.hashes(data, a, b), row, n)
+    return np.stack((np.bincount(row, minlength=n), per_row(~spans.WHITE[data] & _FIRST[data]), per_row(_SYMBOL[data]), lines - distinct, repeated, lines, more))
+
+
+def _repeats(h: np.ndarray, row: np.ndarray, n: int, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row the words inside a window that occurs twice or more; and without the two longest passages of them."""
+    g, at = spans.grams(h, row, window)
+    order = np.lexsort((g, row[at]))
+    g, at = g[order], at[order]
+    twin = (g[1:] == g[:-1]) & (row[at[1:]] == row[at[:-1]])
+    hit = at[np.concatenate((twin, [False])) | np.concatenate(([False], twin))] if len(at) else at
+    cover = np.zeros(len(h) + 1, np.int64)
+    np.add.at(cover, hit, 1)
+    np.add.at(cover, hit + window, -1)
+    first, last = spans.runs(np.cumsum(cover)[:-1] > 0, np.searchsorted(row, np.arange(n + 1)))
+    size, of = last - first, row[first]
+    order = np.lexsort((-size, of))
+    size, of = size[order], of[order]
+    nth = np.arange(len(of)) - np.searchsorted(of, of)
+    total, rest = (np.bincount(of, size * keep, n).astype(np.int64) for keep in (1, nth >= 2))
+    return total, rest
 
 
 def _measured(batches):
     for batch in batches:
-        rows = [measure(t or "") for t in batch.column(1).to_pylist()]
-        columns = np.array(rows, np.int64).reshape(-1, 7).T
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(c)) for c in columns), batch.column(2), batch.column(3)], ["doc_id", *_COUNTS, "n_lines", "n_more_repeats", "lang", "source"])
+        found = [np.zeros((len(_COUNTS) + len(_MORE), 0), np.int64), *(measures(data, offsets) for _, data, offsets in spans.blocks(batch.column(1)))]
+        columns = np.concatenate(found, axis=1)
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(c)) for c in columns), batch.column(2), batch.column(3)], ["doc_id", *_COUNTS, *_MORE, "lang", "source"])
+
+
+def _quartiles(measured: DataFrame, keys: list[str]) -> DataFrame:
+    """For each group its rows and, from sketches, the quartiles of each measure and the step of it."""
+    sketches = measured.groupBy(*keys).agg(F.count("*").alias("rows"), *(F.kll_sketch_agg_double(m).alias(m) for m in MEASURES), *(F.kll_sketch_agg_bigint(c).alias(c) for c in _LENGTHS)).where("rows > 0")
+    quantile = lambda m, q: F.kll_sketch_get_quantile_double(m, F.lit(q))
+    told = sketches.select(*keys, "rows", *(quantile(m, q).alias(f"{m}_{name}") for m in MEASURES for name, q in (("low", 0.25), ("high", 0.75))), *(F.greatest(F.lit(1.0), F.kll_sketch_get_quantile_bigint(c, F.lit(0.5))).alias(c) for c in _LENGTHS))
+    quartiles = [c for m in MEASURES for c in (f"{m}_low", f"{m}_high")]
+    return told.select(*keys, "rows", *quartiles, *((F.expr(step) * STEPS).alias(f"{m}_step") for m, (_, step, _) in MEASURES.items()))
 
 
-def _bounds(measured: DataFrame, keys: list[str], reach: float) -> DataFrame:
-    """For each group its rows and, from sketches, the bounds of each measure."""
-    sketches = measured.groupBy(*keys).agg(F.count("*").alias("rows"), *(F.kll_sketch_agg_double(m).alias(m) for m in MEASURES))
-    out = [F.col(k) for k in keys] + [F.col("rows")]
-    for m, (_, grain, both) in MEASURES.items():
-        low, high = (F.kll_sketch_get_quantile_double(m, F.lit(q)) for q in (0.25, 0.75))
-        width = F.greatest(high - low, F.lit(grain)) * reach
-        out += [(high + width).alias(f"{m}_high"), (low - width if both else F.lit(float("-inf"))).alias(f"{m}_low")]
-    return sketches.select(*out)
+def _bounds(own: str, wider: str, reach: float) -> list:
+    """The bounds of each measure from a group's quartiles and those of what it is part of."""
+    out = []
+    for m, (_, _, both) in MEASURES.items():
+        low, high = F.col(f"{own}.{m}_low"), F.col(f"{own}.{m}_high")
+        apart = F.greatest(high - low, (F.col(f"{wider}.{m}_high") - F.col(f"{wider}.{m}_low")) / 2) if both else high - low
+        width = F.greatest(reach * apart, F.col(f"{own}.{m}_step"))
+        out += [(low - width if both else F.lit(float("-inf"))).alias(f"{m}_low"), (high + width).alias(f"{m}_high")]
+    return out
 
 
 def quality(docs: DataFrame, reach: float = 4.0, least: int = 200, hot: int = 256) -> DataFrame:
     """doc_id, the counts, base_failed and kept of each row of ``docs``."""
     docs = docs.select("doc_id", "text", "lang", "source")
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    raw = docs.mapInArrow(_measured, f"doc_id {kinds['doc_id']}, {', '.join(f'{c} long' for c in _COUNTS)}, n_lines long, n_more_repeats long, lang {kinds['lang']}, source {kinds['source']}")
+    raw = docs.transform(in_arrow, _measured, f"doc_id {kinds['doc_id']}, {', '.join(f'{c} long' for c in (*_COUNTS, *_MORE))}, lang {kinds['lang']}, source {kinds['source']}")
     measured = stage(raw.withColumns({m: F.expr(e).cast("double") for m, (e, _, _) in MEASURES.items()}), "measured")
 
     words = measured.where("n_words > 0")
     limits = [f"{m}_{side}" for m in MEASURES for side in ("low", "high")]
-    fine = stage(_bounds(words, ["lang", "source"], reach), "bounds")
-    coarse = _bounds(words, ["lang"], reach)
-    overall = _bounds(words, [], reach).select(*(F.col(c).alias(f"all_{c}") for c in limits))
-    per_lang = coarse.crossJoin(F.broadcast(overall)).select("lang", *(F.when(F.col("rows") >= least, F.col(c)).otherwise(F.col(f"all_{c}")).alias(f"lang_{c}") for c in limits))
-    enough = F.col("rows") >= least
-    per_group = stage(
-        fine.join(per_lang.withColumnRenamed("lang", "of"), F.col("lang").eqNullSafe(F.col("of"))).select("lang", "source", "rows", *(F.when(enough, F.col(c)).otherwise(F.col(f"lang_{c}")).alias(c) for c in limits)),
-        "thresholds",
-    )
+    packed = lambda t, name: F.struct(*(c for c in t.columns if c not in ("lang", "source"))).alias(name)
+    fine, coarse, overall = (stage(_quartiles(words, keys), "quartiles") for keys in (["lang", "source"], ["lang"], []))
+    enough = lambda name: F.col(f"{name}.rows") >= least
+    by_lang = coarse.select("lang", packed(coarse, "own")).crossJoin(F.broadcast(overall.select(packed(overall, "whole"))))
+    by_lang = by_lang.select(F.col("lang").alias("of"), F.when(enough("own"), F.col("own")).otherwise(F.col("whole")).alias("tongue"), "whole")
+    groups = fine.select("lang", "source", packed(fine, "own")).join(by_lang, F.col("lang").eqNullSafe(F.col("of")))
+    groups = groups.select("lang", "source", F.col("own.rows").alias("rows"), F.when(enough("own"), F.col("own")).otherwise(F.col("tongue")).alias("own"), F.when(enough("own"), F.col("tongue")).otherwise(F.col("whole")).alias("wider"))
+    per_group = stage(groups.select("lang", "source", "rows", *_bounds("own", "wider", reach)), "thresholds")
 
     share = measured.count() / hot
     large, small = per_group.where(F.col("rows") > share), per_group.where(F.col("rows") <= share)
