@@ -314,3 +314,81 @@ def test_stream_equals_batch(spark, tmp_path):
     want = {tuple(r) for r in windowed(df, "1 hour").collect()}
     got = {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got and got <= want and len(want - got) <= 1
+
+
+def published():
+    """108 events of one incident, three of its baseline, and the figures that are published for them."""
+    day = datetime(2026, 8, 10, tzinfo=timezone.utc)
+
+    def one(h, m, sec, service, severity, message, pod, ref=("LQ-EVAL-RAW", "2026-08-10T12:00:00Z", "2026-08-10T12:10:00Z")):
+        evidence = {"source": "loki", "query_ref": ref[0], "start": ref[1], "end": ref[2]}
+        return {"timestamp": day + timedelta(hours=h, minutes=m, seconds=sec), "service": service, "severity": severity, "message": message, "fields": {"pod": pod}, "evidence": evidence}
+
+    service = lambda k: "payments" if k % 3 else "billing"
+    trace = "java.lang.IllegalStateException: invoice calculation failed\nat com.example.billing.InvoiceService.calculate(InvoiceService.java:74)\nat com.example.billing.InvoiceController.handle(InvoiceController.java:21)"
+    rows = [one(12, 0, 2 * k, service(k), "ERROR", f"payment request timeout request_id={2000 + k} duration={420 + 35 * (k % 8)}ms", f"{service(k)}-{k % 4}") for k in range(80)]
+    rows += [one(12, 3, 3 * k, "payments", "ERROR", f"database retry request_id={3000 + k} count={1 + k % 3}", f"api-{k % 3}") for k in range(24)]
+    rows += [
+        one(12, 4, 30, "payments", "INFO", "health check ok service=payments node=node-0", "api-0"),
+        one(12, 5, 40, "orders", "FATAL", trace, "orders-1"),
+        one(12, 5, 50, "payments", "WARN", "cache hit ratio below threshold service=payments request_id=4001", "cache-1"),
+        one(12, 6, 0, "billing", "ERROR", "checksum mismatch for invoice shard=7", "billing-rare"),
+    ]
+    ref = ("LQ-EVAL-BASE", "2026-08-10T11:00:00Z", "2026-08-10T11:06:00Z")
+    base = [
+        one(11, 0, 0, "payments", "INFO", "health check ok service=payments node=node-a", "api-1", ref),
+        one(11, 0, 10, "payments", "ERROR", "payment request timeout request_id=1901 duration=350ms", "api-1", ref),
+        one(11, 0, 11, "billing", "ERROR", "payment request timeout request_id=1902 duration=420ms", "billing-2", ref),
+    ]
+    return rows, base
+
+
+def test_published_figures(spark):
+    rows, base = (jsonl.from_rows(spark, r) for r in published())
+    x = evaluation.evaluate(Request("payments", 900, rows, base, 3600, 3600), "raw")
+    assert (x["rawContext"]["lineCount"], x["rawContext"]["estimatedTokens"], x["rawContext"]["escalations"]) == (108, 8958, 2)
+    assert (x["compactTokens"], x["compactContext"]["budgetExceeded"]) == (866, False)
+    assert (x["comparison"]["rawToCompactTokenRatio"], x["comparison"]["compactSavingsPercent"]) == (10.3441, 90.33)
+    kept = x["retention"]
+    assert [(kept[k + "Retained"], kept[k]) for k in ("rarePatterns", "newPatterns", "rootCausePatterns")] == [(4, 4), (7, 7), (1, 1)]
+    assert {k: v for k, v in x["deltaStates"].items() if v} == {"NEW": 7, "SPIKE": 1, "DISAPPEARED": 1}
+
+
+def test_cache_keys_and_telemetry():
+    w = windows.Window(T0, T0 + timedelta(hours=1), "pay", "r1")
+    key = windows.Cache.key("loki", "q", w)
+    assert key == ("loki", "q", "2026-03-01T12:00:00Z", "2026-03-01T13:00:00Z", "pay", "r1")
+    assert windows.Cache.key("loki", "q", w, "shop", "") == ("loki", "q", *key[2:4], "shop", "")
+    cache = windows.Cache(10)
+    cache.set(key, 1)
+    assert cache.get(key) == 1 and cache.get(("x",)) is None
+    assert cache.telemetry == {"hits": 1, "misses": 1, "evictions": 0}
+
+
+def test_anomaly_records(spark):
+    rows = [("m", {"app": "a", "service": ""}, 2.5, "down", "s", "t"), ("m", {"job": "j"}, 1.5, "up", "s", "t"), ("m", {}, 1.0, "up", "s", "t")]
+    df = spark.createDataFrame(rows, "metric string, labels map<string,string>, score double, direction string, first_seen string, last_seen string")
+    got = [tuple(r)[:9] for r in signals.incident_anomalies(df).collect()]
+    import hashlib
+
+    name = lambda s: "MA-" + hashlib.sha256(f"m\0{s}".encode()).hexdigest()[:16]
+    assert got == [(name(s), "m", s, state, None, peak, "s", "t", "point-deviation") for s, state, peak in (("a", "DROP", -2.5), ("j", "SPIKE", 1.5), ("unknown", "SPIKE", 1.0))]
+
+
+def test_places_follow_the_order(spark):
+    from tracefold.staging import placed
+
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("v")).repartition(7)
+    assert [r.place for r in placed(df, F.desc("v")).orderBy(F.desc("v")).collect()] == list(range(1, 1001))
+    assert placed(df.limit(0), "v").count() == 0
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from tracefold import staging
+
+    conf = SimpleNamespace(get=lambda k: None)
+    cluster = SimpleNamespace(sparkContext=SimpleNamespace(getConf=lambda: conf, getCheckpointDir=lambda: None, master="spark://host:7077"))
+    with pytest.raises(ValueError):
+        staging.shared_dir(cluster)

@@ -84,3 +84,9 @@ def test_refusals(call):
     items = call("GET", "/v1/admin/audit?limit=3")[1]["items"]
     assert len(items) == 3 and items[0]["status"] in (400, 404) and "all" not in json.dumps(items)
     assert call("GET", "/v1/admin/audit", key="reader")[0] == 403
+
+
+def test_keys_need_a_key_and_a_tenant():
+    for key, tenant in (("", "t"), (" ", "t"), ("k", ""), ("k", "  ")):
+        with pytest.raises(ValueError):
+            S.Keys().add(key, tenant, {S.READ})
