@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import spans
-from .shared import stage
+from .shared import in_arrow, share, stage
 
 WINDOW, SHINGLE = 13, 5
 #: Bits of the filter, two probes each.
@@ -124,12 +124,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     """
     spark = docs.sparkSession
     kind = {"doc_id": docs.schema["doc_id"].dataType.simpleString(), "item_id": benchmark.schema["item_id"].dataType.simpleString()}
-    windows = stage(benchmark.select("item_id", "text").mapInArrow(_windows(window, shingle), f"item_id {kind['item_id']}, window long, size int, place int, sh long"), "windows")
+    windows = stage(benchmark.select("item_id", "text").transform(in_arrow, _windows(window, shingle), f"item_id {kind['item_id']}, window long, size int, place int, sh long"), "windows")
     sizes = sorted(r[0] for r in windows.select(F.least("size", F.lit(shingle))).distinct().collect())
-    words_set = windows.select("sh").distinct().mapInArrow(_bits, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    words_set = windows.select("sh").distinct().transform(in_arrow, _bits, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     table = np.zeros(FILTER_BITS // 64, np.uint64)
     table[words_set["word"].to_numpy()] = words_set["bits"].to_numpy().view(np.uint64)
-    scanned = docs.select("doc_id", "text").mapInArrow(_places(sizes, spark.sparkContext.broadcast(table)), f"doc_id {kind['doc_id']}, n_words long, place array<int>, sh array<long>")
+    scanned = docs.select("doc_id", "text").transform(in_arrow, _places(sizes, share(spark, table)), f"doc_id {kind['doc_id']}, n_words long, place array<int>, sh array<long>")
     each = stage(scanned.withColumn("row", F.monotonically_increasing_id()), "places")
     places = each.where(F.size("sh") > 0).select("row", F.explode(F.arrays_zip("place", "sh")).alias("x")).select("row", "x.place", "x.sh")
 

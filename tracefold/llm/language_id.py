@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import spans
+from .shared import in_arrow, share
 
 UNKNOWN = "und"
 ORDERS = (2, 3, 4)
@@ -156,7 +157,7 @@ def learn(docs: DataFrame, per_lang: int = 4000, least_share: float = 1e-5, rati
         return Filter([], 0, [])
     rate = F.create_map(*(F.lit(x) for k in languages for x in (k, min(1.0, per_lang / sizes[k]))))
     drawn = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.element_at(rate, F.col("lang")) * (1 << 20))
-    counts = drawn.select("text", "lang").mapInArrow(_counts, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
+    counts = drawn.select("text", "lang").transform(in_arrow, _counts, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
     order = F.when(F.col("key") >= 4 << 32, 4).when(F.col("key") >= 3 << 24, 3).otherwise(2)
     counts = counts.withColumn("order", order)
     totals = counts.groupBy("lang", "order").agg(F.sum("n").alias("total"))
@@ -168,9 +169,9 @@ def learn(docs: DataFrame, per_lang: int = 4000, least_share: float = 1e-5, rati
 
 
 def identify(docs: DataFrame, model: Filter, carried: list[str] | None = None) -> DataFrame:
-    """The ``carried`` columns of each row (doc_id by default) with lang_pred and score."""
-    carried = carried or ["doc_id"]
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    """doc_id of each row, or the ``carried`` columns in a struct of that name, with lang_pred and score."""
+    whole, carried = spans.restored(carried), carried or ["doc_id"]
+    shared = share(docs.sparkSession, model)
     table, at = spans.with_text(docs, carried)
 
     def run(batches):
@@ -178,8 +179,8 @@ def identify(docs: DataFrame, model: Filter, carried: list[str] | None = None) -
             lang, score = shared.value.predict(batch.column(at))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(carried)], pa.array(lang, pa.string()), pa.array(score)], [*batch.schema.names[: len(carried)], "lang_pred", "score"])
 
-    found = table.mapInArrow(run, ", ".join([*(f"c{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(carried)), "lang_pred string, score double"]))
-    return found.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(carried)), "lang_pred", "score")
+    found = table.transform(in_arrow, run, ", ".join([*(f"c{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(carried)), "lang_pred string, score double"]))
+    return found.select(whole, "lang_pred", "score")
 
 
 def language_id(docs: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import pretokens, spans
-from .shared import stage
+from .shared import in_arrow, stage
 
 #: Pre-tokens a worker keeps the ids of.
 HELD = 300_000
@@ -183,10 +183,11 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 4096, end: int = 1, open_b
     """
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = stage(docs.mapInArrow(_pack(tokenizer, end, size, open_bins), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence long, offset long"), "pieces")
+    rows = stage(docs.transform(in_arrow, _pack(tokenizer, end, size, open_bins), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence long, offset long"), "pieces")
     pieces = rows.where("piece >= 0")
     left = rows.where("piece < 0").select("sequence", F.col("offset").alias("fill"))
-    tasks, level, moved = docs.rdd.getNumPartitions(), 0, None
+    last = left.agg(F.max(F.shiftright("sequence", _BIN_BITS))).first()[0]
+    tasks, level, moved = (last or 0) + 1, 0, None
     while True:
         level, groups = level + 1, max(1, -(-tasks // fan_in))
         # sequence ids: round, then task or group, then bin
