@@ -1,4 +1,6 @@
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -45,3 +47,47 @@ def test_filter_holds_many_languages():
         assert (model.masks(keys)[:, k // 8] >> (k % 8) & 1).all()
     counts, total = model.counts(1, np.zeros(4000, np.int64), rng.integers(0, 1 << 62, 4000, dtype=np.uint64))
     assert total[0] == 4000 and counts.max() < 20
+
+
+def plain_ngrams(text):
+    """Byte n-grams of lower-cased words, one blank between and around them, none of blanks alone."""
+    clean = re.sub(rb"[\x00-\x40\x5b-\x60\x7b-\x7f]+", b" ", (b" " + text.lower().encode() + b" "))
+    return [clean[k : k + n] for n in L.ORDERS for k in range(len(clean) - n + 1) if clean[k : k + n].strip() or False]
+
+
+def test_predictions_against_brute_force(spark):
+    """Exact sets in place of the filter, over whole texts: the same language wherever the counts are apart."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [r for r in docs.select("doc_id", "text", "lang").collect() if r.text]
+    count = {}
+    for r in rows:
+        if zlib.crc32(str(r.doc_id).encode()) % 4 != 2 and r.lang is not None:
+            count.setdefault(r.lang, Counter()).update(plain_ngrams(r.text))
+    share = {}
+    for lang, c in count.items():
+        total = Counter()
+        for g, n in c.items():
+            total[len(g)] += n
+        share[lang] = {g: n / total[len(g)] for g, n in c.items() if n > 1 and n / total[len(g)] >= 1e-5}
+    most = {}
+    for s in share.values():
+        for g, v in s.items():
+            most[g] = max(most.get(g, 0), v)
+    sets = {lang: {g for g, v in s.items() if v >= 0.25 * most[g]} for lang, s in share.items()}
+    got = {r.doc_id: r for r in L.language_id(docs).collect()}
+    same = []
+    for r in rows:
+        grams = plain_ngrams(r.text)
+        hits = {lang: sum(g in s for g in grams) / max(1, len(grams)) for lang, s in sets.items()}
+        best = sorted(hits, key=lambda k: (-hits[k], k))
+        if got[r.doc_id].lang_pred != L.UNKNOWN and hits[best[0]] - hits[best[1]] > 0.02:
+            same.append(got[r.doc_id].lang_pred == best[0])
+            assert abs(got[r.doc_id].score - hits[best[0]]) < 0.05
+    assert len(same) > 500 and np.mean(same) > 0.995
+
+
+def test_ties_go_to_the_first_language():
+    keys = np.random.default_rng(0).integers(0, 1 << 32, 200, dtype=np.uint64)
+    (_, _, _, mine), = L.ngrams(pa.array(["the same words"]))
+    model = L.Filter(["aa", "bb"], 1, [(0, np.concatenate((keys, mine))), (1, np.concatenate((keys, mine)))])
+    assert model.predict(pa.array(["the same words", "the same words"]))[0] == ["aa", "aa"]

@@ -68,3 +68,41 @@ def test_whole(spark):
     assert len(plain) > 50
     assert all(size[k] == len(library.encode(texts[k], add_special_tokens=False).ids) + 1 for k in plain)
     assert [len(n) > 0 and callable(f) for n, f in P.STAGES] == [True] * 5
+
+
+STEPS = [P.identify_language, P.drop_near_duplicates, P.drop_contaminated, P.replace_secrets]
+
+
+def test_clashing_names_and_very_long_texts(spark, small):
+    """Columns named as the stages' own stay as they are; a text of 300,000 words goes through whole."""
+    names = ("score", "lang_pred", "spans", "carried", "document_key", "kept", "class_id", "row", "c0", "contaminated", "a.b", "label", "sequence")
+    long = [(9100, " ".join(f"word{k % 977} the other" for k in range(100_000)), "en", "x", 1), (9101, "z" * 200_000, "en", "x", 1)]
+    docs = small.limit(60).union(spark.createDataFrame(long, small.schema)).withColumns({c: F.concat(F.lit("clash "), F.col("doc_id")) for c in names})
+    for step in STEPS:
+        out = step(spark, docs, SF)
+        assert out.columns == docs.columns
+        got = {r.doc_id: r for r in out.collect()}
+        assert 9100 in got and len(got[9100].text) == len(long[0][1])
+        assert all(got[k][c] == f"clash {k}" for k in got for c in names)
+
+
+def test_empty_table(spark, none):
+    for step in STEPS:
+        out = step(spark, none, SF)
+        assert out.columns == none.columns and out.count() == 0
+    assert P.pack_sequences(spark, none, SF).count() == 0
+
+
+def test_a_stage_clears_what_the_one_before_left(spark, small):
+    import os
+
+    from tracefold import staging
+
+    at = staging.mark()
+    (_, one), (_, two) = P.STAGES[1:3]
+    docs = one(spark, small, SF)
+    docs.write.parquet(path := f"{staging.shared_dir(spark)}/written-{at}")
+    left = [p.removeprefix("file:") for _, p in staging._staged[at:]]
+    assert left and all(map(os.path.isdir, left))
+    found = two(spark, spark.read.parquet(path), SF)
+    assert not any(map(os.path.isdir, left)) and found.count() > 0
