@@ -392,3 +392,56 @@ def test_a_cluster_needs_a_shared_folder():
     cluster = SimpleNamespace(sparkContext=SimpleNamespace(getConf=lambda: conf, getCheckpointDir=lambda: None, master="spark://host:7077"))
     with pytest.raises(ValueError):
         staging.shared_dir(cluster)
+
+
+def test_every_exported_name_is_there():
+    import tracefold
+
+    assert len(tracefold.__all__) > 60 and all(callable(getattr(tracefold, name)) for name in tracefold.__all__)
+
+
+def test_range_scans_in_slices(spark):
+    """A backend over HTTP, asked slice by slice from tasks: every line and sample once."""
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+    from urllib.parse import parse_qs, urlparse
+
+    from tracefold.sources import ranges
+    from tracefold.sources.http import Limits
+
+    second = 1_000_000_000
+    t0 = int(T0.timestamp())
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            url = urlparse(self.path)
+            q = {k: v[0] for k, v in parse_qs(url.query).items()}
+            if "loki" in url.path:
+                times = [t for t in range(t0 * second, (t0 + 600) * second, second) if int(q["start"]) <= t < int(q["end"])]
+                result = [{"stream": {"app": "pay"}, "values": [[str(t), f"ERROR at {t // second}"] for t in times]}]
+            else:
+                a, b, step = float(q["start"]), float(q["end"]), int(q["step"])
+                n = int((b - a) // step) + 1
+                result = [{"metric": {"__name__": "up"}, "values": [[a + k * step, str(k)] for k in range(n)]}]
+            body = json.dumps({"status": "success", "data": {"result": result}}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *_):
+            pass
+
+    http = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=http.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{http.server_port}"
+    window = (T0, T0 + timedelta(seconds=600))
+    got = ranges.scan_logs(spark, url, loki.LogQuery("shop", *window), 5)
+    assert got.rdd.getNumPartitions() == 5
+    assert [r.message for r in got.orderBy("seq").collect()] == [f"ERROR at {t0 + k}" for k in range(600)]
+    samples = ranges.scan_metrics(spark, url, prometheus.MetricQuery("up", *window, 15), 4)
+    assert [int(r.ts.timestamp()) - t0 for r in samples.orderBy("ts").select(F.col("ts")).collect()] == list(range(0, 601, 15))
+    with pytest.raises(Exception, match="limit"):
+        ranges.scan_logs(spark, url, loki.LogQuery("shop", *window), 1).count()
+    with pytest.raises(ValueError):
+        ranges.scan_logs(spark, url, loki.LogQuery("shop", *window), 1, Limits(window=timedelta(minutes=5)))
+    http.shutdown()

@@ -48,15 +48,16 @@ def selector(q: LogQuery) -> str:
 def shape(result: DataFrame, evidence: dict) -> DataFrame:
     """Events in stream order from a table with the column ``result`` of streams and their values.
 
-    Times are whole nanoseconds divided to microseconds.
+    Times are whole nanoseconds divided to microseconds.  A column ``slice`` orders the answers of a scan in slices.
     """
-    streams = result.select(F.posexplode(F.from_json("result", _RESULT)).alias("s", "x"))
-    lines = streams.select("s", F.col("x.stream").alias("labels"), F.posexplode("x.values").alias("v", "y")).where(F.size("y") >= 2)
+    first = F.col("slice").cast("long") * (1 << 48) if "slice" in result.columns else F.lit(0).cast("long")
+    streams = result.select(first.alias("first"), F.posexplode(F.from_json("result", _RESULT)).alias("s", "x"))
+    lines = streams.select("first", "s", F.col("x.stream").alias("labels"), F.posexplode("x.values").alias("v", "y")).where(F.size("y") >= 2)
     label = lambda k: F.nullif(F.try_element_at("labels", F.lit(k)), F.lit(""))
     line = F.element_at("y", 2)
     quoted = F.transform_values("labels", lambda k, v: F.regexp_replace(F.to_json(F.struct(v.alias("v"))), r'(?s)^\{"v":(.*)\}$', "$1"))
     return lines.select(
-        (F.col("s").cast("long") * (1 << 32) + F.col("v")).alias("seq"),
+        (F.col("first") + F.col("s").cast("long") * (1 << 32) + F.col("v")).alias("seq"),
         F.timestamp_micros(F.floor(F.element_at("y", 1).cast("decimal(38,0)") / 1000).cast("long")).alias("ts"),
         F.coalesce(label("app"), label("job"), F.lit("unknown")).alias("service"), T.severity_in_text(line).alias("severity"), line.alias("message"), quoted.alias("fields"),
         F.struct(*(F.lit(evidence[k]).alias(k) for k in ("source", "queryRef", "start", "end"))).alias("evidence"),

@@ -7,7 +7,7 @@ import json
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -26,14 +26,15 @@ class MetricQuery:
 
 
 def shape(result: DataFrame, points: int | None = None) -> DataFrame:
-    """Samples (series, metric, labels, ord, ts, value) from a table with the column ``result``.
+    """Samples (series, metric, labels, ord, ts, value) from a table with the column ``result``; a column ``slice`` sets its series apart.
 
     With ``points`` only so many samples are kept, counted over all series in order.
     """
-    series = result.select(F.posexplode(F.from_json("result", _RESULT)).alias("series", "x"))
+    first = F.col("slice").cast("long") * (1 << 40) if "slice" in result.columns else F.lit(0).cast("long")
+    series = result.select(first.alias("first"), F.posexplode(F.from_json("result", _RESULT)).alias("s", "x")).withColumn("series", F.col("first") + F.col("s"))
     samples = series.select("series", F.col("x.metric").alias("labels"), F.posexplode("x.values").alias("ord", "y")).where(F.size("y") >= 2)
     if points is not None:
-        samples = samples.withColumn("nth", F.row_number().over(Window.orderBy("series", "ord"))).where(F.col("nth") <= points).drop("nth")
+        samples = samples.orderBy("series", "ord").limit(points)
     name = lambda k: F.nullif(F.try_element_at("labels", F.lit(k)), F.lit(""))
     seconds = F.element_at("y", 1).cast("double")
     return samples.select(
