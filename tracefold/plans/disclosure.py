@@ -42,6 +42,22 @@ def pattern_hypotheses(patterns: DataFrame) -> DataFrame:
     return patterns.where("count <> 0").select(F.col("fingerprint").alias("target"), statement.alias("statement"), confidence.alias("confidence"), F.when(n >= 3, "supported").otherwise("unverified").alias("state"))
 
 
+def stack_hypotheses(stacks: DataFrame) -> DataFrame:
+    """A hypothesis for each stack that occurred twice or more."""
+    n = F.col("count")
+    confidence = F.least(F.lit(1.0), F.round(F.lit(0.4) + n / 20, 2))
+    statement = F.concat(F.lit("Exception type "), "exception_type", F.lit(" appears "), n, F.lit(" times across timeline-similar logs."))
+    return stacks.where("count >= 2").select(F.col("fingerprint").alias("target"), statement.alias("statement"), confidence.alias("confidence"), F.when(confidence >= 0.7, "supported").otherwise("unverified").alias("state"))
+
+
+def correlation_hypotheses(groups: DataFrame) -> DataFrame:
+    """A hypothesis for each group of correlated events."""
+    named = F.concat(F.lit("('"), F.array_join("services", "', '"), F.when(F.size("services") == 1, "',)").otherwise("')"))
+    statement = F.concat(F.lit("Cross-service correlation in "), named, F.lit(" with "), "event_count", F.lit(" linked events."))
+    confidence = F.least(F.lit(1.0), F.round("confidence", 2))
+    return groups.select(F.col("correlation_ref").alias("target"), statement.alias("statement"), confidence.alias("confidence"), F.when(F.col("confidence") >= 0.6, "supported").otherwise("unverified").alias("state"))
+
+
 def hypotheses(s: dict) -> list[dict]:
     """Hypotheses from a snapshot's patterns, repeated stacks and correlations."""
     one = lambda target, statement, confidence, state, refs: {"target": target, "statement": statement, "confidence": confidence, "state": state, "evidenceRefs": refs}

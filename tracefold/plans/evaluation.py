@@ -16,8 +16,8 @@ from .snapshot import Request, _camel, build
 STATES = ("NEW", "DISAPPEARED", "SPIKE", "DROP", "STABLE", "CHANGED")
 
 
-def canonical_lines(events: DataFrame) -> DataFrame:
-    """Each event as one line of JSON: keys sorted, redacted, escaped to ASCII in length."""
+def canonical_lines(events: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Each event as one line of JSON: keys sorted, redacted, escaped to ASCII in length; with the columns in ``keep``."""
     quoted = lambda c: F.regexp_replace(F.to_json(F.struct(c.alias("v")), {"ignoreNullFields": "false"}), r'(?s)^\{"v":(.*)\}$', "$1")
     pairs = F.transform(F.array_sort(F.map_entries(T.sanitized(F.col("fields")))), lambda e: F.concat(quoted(e["key"]), F.lit(":"), e["value"]))
     ref = F.concat(F.lit('{"end":'), quoted(F.col("evidence.end")), F.lit(',"query_ref":'), quoted(F.col("evidence.queryRef")), F.lit(',"source":'), quoted(F.col("evidence.source")), F.lit(',"start":'), quoted(F.col("evidence.start")), F.lit("}"))
@@ -27,7 +27,7 @@ def canonical_lines(events: DataFrame) -> DataFrame:
     )
     # an escape \\uXXXX takes six characters for each UTF-16 unit
     wide = F.regexp_replace(line, r"[\x{10000}-\x{10FFFF}]", "------------")
-    return events.select(F.regexp_replace(wide, r"[^\x00-\x7F]", "------").alias("line"))
+    return events.select(*(keep or []), F.regexp_replace(wide, r"[^\x00-\x7F]", "------").alias("line"))
 
 
 def telemetry(events: DataFrame, file_bytes: int | None, with_escalations: bool) -> dict:

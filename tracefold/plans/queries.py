@@ -663,6 +663,91 @@ def code_node_lines(spark, sf_dir):
     return signals.code_nodes(p.select(F.col("p_partkey").alias("ord"), line.alias("value")).union(noise)).select("ord", "name", "source", "location", "community")
 
 
+@query(f"WITH logs AS ({LOGS}), e AS (SELECT *, {_duck_normalized('message')} AS template FROM logs) SELECT {_LP} AS fingerprint, severity, {_RANK.format('severity')} AS severity_rank, severity IN ('FATAL', 'CRITICAL', 'ERROR') AS protected, count(*) AS events FROM e GROUP BY ALL")
+def sql_functions(spark, sf_dir):
+    """The text functions called by name from SQL."""
+    from ..functions import sql
+
+    sql.register(spark)
+    logs(spark, sf_dir).createOrReplaceTempView("tracefold_log_lines")
+    return spark.sql(
+        "SELECT pattern_id(normalize_message(message), canonical_severity(severity)) AS fingerprint, canonical_severity(severity) AS severity, severity_rank(canonical_severity(severity)) AS severity_rank, "
+        "is_protected(canonical_severity(severity)) AS protected, count(*) AS events FROM tracefold_log_lines GROUP BY ALL"
+    )
+
+
+def _whole_events(spark, sf_dir) -> DataFrame:
+    """Log events with fields and evidence."""
+    e = logs(spark, sf_dir)
+    fields = F.create_map(F.lit("pod"), F.concat(F.lit('"'), "service", F.lit('-0"')), F.lit("token"), F.lit("1"), F.lit("shard"), (F.col("seq") % 5).cast("string"))
+    ref = F.struct(F.lit("loki").alias("source"), F.concat(F.lit("Q-"), "service").alias("queryRef"), F.lit("a").alias("start"), F.lit("b").alias("end"))
+    return e.withColumn("fields", fields).withColumn("evidence", ref)
+
+
+_LINE = f"""concat('{{"evidence":{{"end":"b","query_ref":"Q-', service, '","source":"loki","start":"a"}},"fields":{{"pod":"', service, '-0","shard":', seq % 5, ',"token":"<redacted>"}},"message":', to_json({_duck_normalized('message')})::VARCHAR, ',"service":"', service, '","severity":"', severity, '","timestamp":"', {_ISO.format('ts')}, '"}}')"""
+
+
+@query(f"WITH logs AS ({LOGS}), l AS (SELECT seq, {_LINE} AS line FROM logs) SELECT seq, length(line) AS size, sha256(line) AS line FROM l")
+def canonical_event_lines(spark, sf_dir):
+    """Every event as the canonical line that telemetry measures."""
+    from .evaluation import canonical_lines
+
+    lines = canonical_lines(_whole_events(spark, sf_dir), keep=["seq"])
+    return lines.select("seq", F.length("line").cast("long").alias("size"), F.sha2("line", 256).alias("line"))
+
+
+_BARE_LINE = _LINE.replace("""{"pod":"', service, '-0","shard":', seq % 5, ',"token":"<redacted>"}""", "{}")
+_SPLIT_LINES = f"SELECT sum(length(line) + 1)::BIGINT AS normalized_bytes, sum(greatest(1, length(line) // 4) + 12)::BIGINT AS estimated_tokens, count(*) AS line_count FROM (SELECT {_BARE_LINE} AS line FROM logs WHERE ts <op> '{SPLIT}')"
+
+
+@query(
+    f"""{_SNAPSHOT}, rk AS (SELECT {_RANK.format('severity')} AS k, lag({_RANK.format('severity')}) OVER (ORDER BY ts, seq) AS before FROM i), raw AS ({_SPLIT_LINES.replace('<op>', '>=')}), base AS ({_SPLIT_LINES.replace('<op>', '<')}),
+ fresh AS (SELECT {_LP} AS fingerprint FROM x WHERE baseline_count = 0)
+ SELECT 'raw_lines' AS figure, line_count::VARCHAR AS value FROM raw UNION ALL SELECT 'raw_bytes', normalized_bytes::VARCHAR FROM raw UNION ALL SELECT 'raw_tokens', estimated_tokens::VARCHAR FROM raw
+ UNION ALL SELECT 'baseline_tokens', estimated_tokens::VARCHAR FROM base UNION ALL SELECT 'escalations', count(*)::VARCHAR FROM rk WHERE k > before
+ UNION ALL SELECT 'discovered', patterns::VARCHAR FROM t UNION ALL SELECT 'retained', kept::VARCHAR FROM t UNION ALL SELECT 'omitted', (patterns - kept)::VARCHAR FROM t
+ UNION ALL SELECT 'rare', count(*)::VARCHAR FROM p WHERE count = 1 UNION ALL SELECT 'rare_retained', count(*)::VARCHAR FROM k WHERE count = 1
+ UNION ALL SELECT 'new', count(*)::VARCHAR FROM p WHERE fingerprint IN (SELECT fingerprint FROM fresh) UNION ALL SELECT 'new_retained', count(*)::VARCHAR FROM k WHERE fingerprint IN (SELECT fingerprint FROM fresh)"""
+)
+def evaluation_report(spark, sf_dir):
+    """The figures of an evaluation report."""
+    from .evaluation import evaluate
+    from .snapshot import Request
+
+    e = _whole_events(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")).withColumn("fields", F.create_map().cast("map<string,string>"))
+    split = F.lit(SPLIT).cast("timestamp")
+    x = evaluate(Request("shop", BUDGET, e.where(F.col("ts") >= split), e.where(F.col("ts") < split), 3600, 3600))
+    raw, kept = x["rawContext"], x["retention"]
+    figures = {
+        "raw_lines": raw["lineCount"], "raw_bytes": raw["normalizedBytes"], "raw_tokens": raw["estimatedTokens"], "baseline_tokens": x["baselineContext"]["estimatedTokens"], "escalations": raw["escalations"],
+        "discovered": kept["discoveredPatterns"], "retained": kept["retainedPatterns"], "omitted": kept["omittedPatterns"], "rare": kept["rarePatterns"], "rare_retained": kept["rarePatternsRetained"], "new": kept["newPatterns"], "new_retained": kept["newPatternsRetained"],
+    }
+    return spark.createDataFrame([(k, str(v)) for k, v in figures.items()], "figure string, value string")
+
+
+@query(
+    f"WITH logs AS ({_CORR} SELECT correlation_ref AS target, concat('Cross-service correlation in (''', replace(services, ',', ''', '''), CASE WHEN services LIKE '%,%' THEN ''')' ELSE ''',)' END, ' with ', event_count, ' linked events.') AS statement, "
+    "confidence::DOUBLE AS confidence, CASE WHEN confidence >= 0.6 THEN 'supported' ELSE 'unverified' END AS state FROM g"
+)
+def correlation_hypotheses(spark, sf_dir):
+    """Hypotheses from correlation groups."""
+    from .disclosure import correlation_hypotheses as hypotheses
+
+    return hypotheses(correlate.correlation_groups(events.enrich(logs(spark, sf_dir))))
+
+
+@query(
+    f"""WITH logs AS ({LOGS}), f AS (SELECT concat('com.shop.Kind', seq % 3, 'Exception') AS kind, concat('at com.shop.Cart.add(Cart.java:<line>)', chr(0), 'at com.shop.Pay.run', CASE WHEN seq % 3 = 0 THEN 0 ELSE seq % 2 END, '(Pay.java:<line>)', chr(0), 'Caused by: id=<id> lost') AS frames FROM logs WHERE severity = 'ERROR'),
+ g AS (SELECT concat('STACK-', substr(sha256(concat(kind, chr(0), frames)), 1, 16)) AS target, kind, count(*) AS n FROM f GROUP BY kind, frames HAVING count(*) >= 2)
+ SELECT target, concat('Exception type ', kind, ' appears ', n, ' times across timeline-similar logs.') AS statement, least(1.0, round(0.4 + n / 20, 2))::DOUBLE AS confidence, CASE WHEN least(1.0, round(0.4 + n / 20, 2)) >= 0.7 THEN 'supported' ELSE 'unverified' END AS state FROM g"""
+)
+def stack_hypotheses(spark, sf_dir):
+    """Hypotheses from repeated stacks."""
+    from .disclosure import stack_hypotheses as hypotheses
+
+    return hypotheses(patterns.stack_groups(events.enrich(traces(spark, sf_dir))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
