@@ -52,13 +52,23 @@ def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.withColumn("message", F.when(F.col("severity") == "ERROR", trace).otherwise(F.col("message")))
 
 
+# The redaction rules once more, as DuckDB writes them; not made from those of the functions, which they check.
+_DUCK_RULES = (
+    (r"\b(?:authorization|token|secret|password|api[_-]?key)=\S+", "<redacted>", "gi"),
+    (r"\b(?:trace_id|span_id|request_id|correlation_id|session_id)=\S+", "<correlation>", "gi"),
+    (r"\b[\w.+-]+@[\w.-]+\.[A-Za-z]{2,}\b", "<redacted>", "g"),
+    (r"\b[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[1-5][0-9a-fA-F]{3}-[89abAB][0-9a-fA-F]{3}-[0-9a-fA-F]{12}\b", "<uuid>", "g"),
+    (r"\b(duration|timeout|latency)=\d+(?:\.\d+)?(?:ms|s|m)?\b", r"\1=<duration>", "gi"),
+    (r"\b(order|request_id|session_id|user_id|shard|id)=\d+\b", r"\1=<id>", "gi"),
+    (r"\b(?:\d{1,3}\.){3}\d{1,3}\b", "<ip>", "g"),
+)
+
+
 def _duck_normalized(c: str) -> str:
     """The redaction rules as nested DuckDB calls, for ASCII texts."""
     out = f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
-    for pattern, replacement in T.REDACTIONS:
-        flags = "gi" if pattern.startswith("(?iU)") else "g"
-        body = pattern.split(")", 1)[1].replace("'", "''")
-        out = f"regexp_replace({out}, '{body}', '{replacement.replace('$1', chr(92) + '1')}', '{flags}')"
+    for pattern, replacement, flags in _DUCK_RULES:
+        out = f"regexp_replace({out}, '{pattern}', '{replacement}', '{flags}')"
     return f"regexp_replace({out}, '\\s+', ' ', 'g')"
 
 
@@ -577,14 +587,67 @@ def incident_snapshot(spark, sf_dir):
     return out
 
 
-@query()
+def _disclosure_sql(budget: int) -> str:
+    """What each level spends: the JSON length of each section's rows, and sections one after another."""
+    from .disclosure import RESERVE, SECTIONS, SHOWN, SPENDING
+
+    text = lambda c: f"to_json({c})::VARCHAR"
+    named = lambda *pairs: "length(concat('{', " + ", ', ', ".join(f"'\"{k}\": ', {v}" for k, v in pairs) + ", '}'))"
+    listed = "concat('[\"', replace(services, ',', '\", \"'), '\"]')"
+    iso = {k: f"concat('\"', {_ISO.format(k)}, '\"')" for k in ("first_ts", "last_ts")}
+    reason = "CASE WHEN severity = 'ERROR' THEN '\"protected_severity\"' ELSE '\"dominant_frequency\"' END"
+    sample = lambda k: f"'{{\"fields\": {{}}, \"timestamp\": ', {iso[k]}, '}}'"
+    samples = f"CASE WHEN count = 1 THEN concat('[', {sample('first_ts')}, ']') ELSE concat('[', {sample('first_ts')}, ', ', {sample('last_ts')}, ']') END"
+    short = [("count", "count"), ("exceptionFingerprint", "'null'"), ("fingerprint", text("fingerprint")), ("firstSeen", iso["first_ts"]), ("lastSeen", iso["last_ts"]), ("retentionReason", reason), ("services", listed), ("severity", text("severity")), ("template", text("template"))]
+    pattern = {"L1": named(*short), "L2": named(*short, ("evidence", "'[]'"), ("samples", samples))}
+    rate = lambda c: f"round({c} * 60 / 3600, 4)"
+    delta = named(
+        ("absoluteRateDelta", f"round({rate('incident_count')} - {rate('baseline_count')}, 4)"), ("baselineCount", "baseline_count"), ("baselineRatePerMinute", rate("baseline_count")), ("fingerprint", text(_LP)), ("incidentCount", "incident_count"), ("incidentRatePerMinute", rate("incident_count")),
+        ("relativeChange", "CASE WHEN baseline_count = 0 THEN 'null' WHEN incident_count = 0 THEN '0.0' ELSE round(change, 4)::VARCHAR END"), ("severity", text("severity")),
+        ("state", "CASE WHEN baseline_count = 0 THEN '\"NEW\"' WHEN incident_count = 0 THEN '\"DISAPPEARED\"' WHEN round(change, 4) >= 2 THEN '\"SPIKE\"' WHEN round(change, 4) <= 0.5 THEN '\"DROP\"' WHEN round(change, 4) = 1 THEN '\"STABLE\"' ELSE '\"CHANGED\"' END"), ("template", text("template")),
+    )
+    service = "CASE WHEN n_services = 1 THEN services ELSE 'multiple' END"
+    refs = "CASE WHEN coalesce(refs, 0) = 0 THEN '[]' ELSE repeat('x', (refs * 25)::BIGINT) END"
+    entry = [("correlationRefs", refs), ("fingerprint", text("fingerprint")), ("kind", "'\"log_pattern\"'"), ("service", text(service)), ("summary", text("substr(template, 1, 240)")), ("timestamp", iso["first_ts"]), ("version", "'null'")]
+    line = {"L1": named(*entry), "L2": named(*entry, ("evidence", "'[]'"), ("metadata", "concat('{\"count\": ', count, ', \"severity\": ', to_json(severity)::VARCHAR, '}')"))}
+    group = named(("confidence", "confidence::DOUBLE"), ("correlationRef", text("ref")), ("eventCount", "n"), ("firstSeen", iso["first_ts"]), ("idType", "'\"request_id\"'"), ("lastSeen", iso["last_ts"]), ("services", listed))
+    sure = "CASE WHEN count >= 3 THEN least(1.0, round(0.55 + count / 25, 2)) ELSE 0.45 END::DOUBLE"
+    guess = named(("confidence", sure), ("evidenceRefs", "'[]'"), ("state", "CASE WHEN count >= 3 THEN '\"supported\"' ELSE '\"unverified\"' END"), ("statement", text("concat('Pattern ''', template, ''' is recurring and may indicate an active incident cause.')")), ("target", text("fingerprint")))
+    tables = {
+        "patterns": ("k", "place", pattern), "deltas": ("x", "template, severity", {"L1": delta, "L2": delta}), "timeline": ("k LEFT JOIN r USING (fingerprint)", f"{_ISO.format('first_ts')}, {service}, fingerprint", line),
+        "correlations": ("gt", "confidence DESC, n DESC, ref", {"L1": group, "L2": group}), "hypotheses": ("k", "place", {"L1": guess, "L2": guess}),
+    }
+    summary = named(
+        ("budgetExceeded", f"CASE WHEN required > {BUDGET} THEN 'true' ELSE 'false' END"), ("correlationCoverage", "coverage"), ("infrastructureEventCount", "0"), ("investigationConfidence", "sure"), ("metricAnomalyCount", "0"), ("omittedPatternCount", "patterns - kept"), ("rawEventCount", "n"), ("rawPatternCount", "kept"), ("requiredTokens", "required"), ("retainedPatternCount", "kept"),
+    )
+    out = f"""{_SNAPSHOT}, gt AS (SELECT ref, n, services, confidence, first_ts, last_ts FROM g JOIN (SELECT concat('CORR-', substr(sha256(concat('request_id', chr(0), value)), 1, 16)) AS ref, min(ts) AS first_ts, max(ts) AS last_ts FROM e GROUP BY 1) USING (ref)),
+ z AS (SELECT t.*, (36 + cost + 20 * deltas + 18 * kept + 16 * groups)::BIGINT AS required, round((SELECT count(*) FROM e WHERE concat('CORR-', substr(sha256(concat('request_id', chr(0), value)), 1, 16)) IN (SELECT ref FROM g)) / n, 4)::DOUBLE AS coverage, (SELECT round(sum(confidence * n) / sum(n), 4)::DOUBLE FROM g) AS sure FROM t),
+ u0 AS (SELECT {summary} // 4 + {RESERVE} AS used FROM z)"""
+    parts = []
+    for level, shown in SHOWN.items():
+        most, before = dict(zip(SECTIONS, shown)), "u0"
+        for kind in SPENDING:
+            name = f"{level}_{kind}"
+            if kind in tables and most[kind]:
+                source, order, size = tables[kind]
+                out += f""",
+ {name}_rows AS (SELECT sum(greatest(1, size // 4)) OVER (ORDER BY place) AS spent, place FROM (SELECT {size[level]} AS size, row_number() OVER (ORDER BY {order}) AS place FROM {source}) WHERE place <= {most[kind]}),
+ {name} AS (SELECT used + coalesce((SELECT max(spent) FROM {name}_rows, {before} b WHERE b.used + spent <= {budget}), 0) AS used, (SELECT count(*) FROM {name}_rows) AS requested, (SELECT count(*) FROM {name}_rows, {before} b WHERE b.used + spent <= {budget}) AS applied, coalesce((SELECT max(spent) FROM {name}_rows, {before} b WHERE b.used + spent <= {budget}), 0) AS budget_spent FROM {before})"""
+                parts.append(f"SELECT '{level}' AS level, '{kind}' AS kind, requested::INT AS requested, applied::INT AS applied, budget_spent::INT AS budget_spent, {SECTIONS.index(kind) + 1} AS place FROM {name}")
+                before = name
+            else:
+                parts.append(f"SELECT '{level}' AS level, '{kind}' AS kind, 0 AS requested, 0 AS applied, 0 AS budget_spent, {SECTIONS.index(kind) + 1} AS place")
+    return out + " " + " UNION ALL ".join(parts)
+
+
+@query(_disclosure_sql(2_000))
 def disclosure_account(spark, sf_dir):
     """What each level shows of each section within 2,000 tokens."""
     from .disclosure import disclose
 
     s = _built(spark, sf_dir).to_dict()
-    rows = [(level, o["kind"], o["requested"], o["applied"], o["budgetSpent"]) for level in ("L0", "L1", "L2") for o in disclose(s, level, 2_000)["state"]["operations"]]
-    return spark.createDataFrame(rows, "level string, kind string, requested int, applied int, budget_spent int")
+    rows = [(level, o["kind"], o["requested"], o["applied"], o["budgetSpent"], place) for level in ("L0", "L1", "L2") for place, o in enumerate(disclose(s, level, 2_000)["state"]["operations"], 1)]
+    return spark.createDataFrame(rows, "level string, kind string, requested int, applied int, budget_spent int, place int")
 
 
 def _answers(spark, sf_dir, key: str, labels: DataFrame, value) -> DataFrame:
