@@ -383,6 +383,19 @@ def test_places_follow_the_order(spark):
     assert placed(df.limit(0), "v").count() == 0
 
 
+def test_a_scope_deletes_what_it_staged(spark):
+    import os
+
+    from tracefold import staging
+
+    before = staging.mark()
+    with staging.scope():
+        staging.stage(spark.range(3), "x")
+        (path,) = [p.removeprefix("file:") for _, p in staging._scopes.tables]
+        assert os.path.isdir(path)
+    assert not os.path.exists(path) and staging.mark() == before
+
+
 def test_a_cluster_needs_a_shared_folder():
     from types import SimpleNamespace
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import events as E
+from ..staging import scope
 from .queries import retention, token_totals
 from .snapshot import Request, _camel, build
 
@@ -38,6 +39,11 @@ def telemetry(events: DataFrame, file_bytes: int | None, with_escalations: bool)
 
 def evaluate(r: Request, label: str = "", file_bytes: int | None = None, baseline_bytes: int | None = None) -> dict:
     """The machine report, with the text for people under ``humanReport``."""
+    with scope():
+        return _evaluated(r, label, file_bytes, baseline_bytes)
+
+
+def _evaluated(r: Request, label: str, file_bytes: int | None, baseline_bytes: int | None) -> dict:
     began = time.perf_counter()
     plan = build(r)
     s = plan.to_dict()

@@ -9,6 +9,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import staging
 from ..operators.events import window_seconds
 from ..sources import loki, prometheus
 from . import windows
@@ -102,6 +103,7 @@ def protect(kind: str, payload, scope: str, budget: int = 2_000) -> dict:
     if not totals.n:
         raise ValueError("raw_logs payload must not be empty")
     span = window_seconds(payload).first()[0]
-    compact = build(Request(scope, budget, payload, incident_seconds=span + 1)).to_dict()
+    with staging.scope():
+        compact = build(Request(scope, budget, payload, incident_seconds=span + 1)).to_dict()
     raw, small = max(1, totals.chars // 4), size(json.dumps(compact))
     return {"kind": "incident_context", "payload": compact, "rawItems": totals.n, "estimatedRawTokens": raw, "estimatedCompactTokens": small, "preventedRawTokens": max(0, raw - small)}

@@ -22,6 +22,7 @@ from .plans import disclosure, incident
 from .plans.snapshot import Request, Snapshot, aware, build, evidence
 from .session import ship
 from .sources.jsonl import from_rows
+from .staging import scope
 
 READ, WRITE, AUDIT = "read", "write", "audit"
 
@@ -149,7 +150,8 @@ class Service:
         return {"contextId": key, "tenantId": caller.tenant, "context": snapshot}
 
     def create(self, caller: Caller, body: dict) -> dict:
-        return self.save(caller, self.builder(self.request(body)).to_dict())
+        with scope():
+            return self.save(caller, self.builder(self.request(body)).to_dict())
 
     def create_from_sources(self, caller: Caller, body: dict) -> dict:
         try:
@@ -159,8 +161,9 @@ class Service:
         start, end = (aware(body.get(k), k) for k in ("start", "end"))
         names = {"namespace": "namespace", "baseline_minutes": "baseline_minutes", "mode": "mode", "metric_expression": "expression", "metric_step_seconds": "step", "max_anomalies": "most", "loki_limit": "limit"}
         options = {to: body[k] for k, to in names.items() if body.get(k) is not None}
-        made = incident.from_source(self.spark, source, str(body.get("scope") or ""), start, end, int(body.get("token_budget") or 2_000), apps=tuple(body.get("apps") or ()), **options)
-        return self.save(caller, made.to_dict())
+        with scope():
+            made = incident.from_source(self.spark, source, str(body.get("scope") or ""), start, end, int(body.get("token_budget") or 2_000), apps=tuple(body.get("apps") or ()), **options)
+            return self.save(caller, made.to_dict())
 
     def stored(self, caller: Caller, key: str) -> dict:
         if (found := self._stored[caller.tenant].get(key)) is None:

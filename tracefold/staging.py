@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _staged: list[tuple[SparkSession, str] | None] = []
+_scopes = threading.local()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,10 +37,22 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tracefold/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _staged.append((spark, path))
+    own = getattr(_scopes, "tables", None)
+    (_staged if own is None else own).append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scope() -> Iterator[None]:
+    """Delete at its end what this thread has staged in it; for work whose result is not a table."""
+    outer, _scopes.tables = getattr(_scopes, "tables", None), []
+    try:
+        yield
+    finally:
+        own, _scopes.tables = _scopes.tables, outer
+        _delete(own)
+
+
 def placed(df: DataFrame, *order: Column | str, name: str = "place") -> DataFrame:
     """``df`` in this order with each row's place from 1.
 
@@ -59,6 +75,10 @@ def release(since: int = 0, until: int | None = None) -> None:
     tables = _staged[since:until]
     # the places stay, so that marks stay right
     _staged[since:until] = [None] * len(tables)
+    _delete(tables)
+
+
+def _delete(tables: list[tuple[SparkSession, str] | None]) -> None:
     for found in filter(None, tables):
         spark, path = found
         try:
