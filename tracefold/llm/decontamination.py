@@ -14,7 +14,8 @@ Bloom filter of the benchmark lets through; the filter has a fixed size,
 whatever the benchmark's.  Shingle frequencies, the prefix join and the
 verification work on that far smaller table, by hash shuffles.  A passage in
 very many documents makes even its rarest shingle frequent; keys with over
-1/``hot`` of all places (so at most ``hot`` keys) are salted.
+1/``hot`` of all places (so at most ``hot`` keys) are salted, and so are the windows that
+have such a prefix.
 
 Edge cases: null or empty texts have no words and no hits; items without words
 are no windows; repeated items count one each by item_id; equal documents are
@@ -143,11 +144,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     is_frequent = F.col("sh").isin(frequent) if frequent else F.lit(False)
     dealt = prefix.withColumn("salt", F.explode(F.when(is_frequent, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
     salted = places.withColumn("salt", F.when(is_frequent, F.pmod(F.hash("row"), F.lit(salts))).otherwise(0))
-    candidates = salted.join(dealt, ["sh", "salt"]).select("row", "window", "size", (F.col("place") - F.col("p")).alias("start")).where("start >= 0").distinct()
+    # a candidate brings its window's shingles along, so no join goes by windows, which may be hot
     sets = tokens.groupBy("window").agg(F.array_sort(F.collect_list(F.struct("p", "sh"))).alias("set"))
-    asked = candidates.join(sets, "window").select("row", "window", "size", "start", F.explode("set").alias("x")).select("row", "window", "size", "start", (F.col("start") + F.col("x.p")).alias("place"), F.col("x.sh").alias("sh"))
-    verified = asked.join(places, ["row", "place", "sh"]).groupBy("row", "window", "size", "start").agg(F.count("*").alias("n")).where(F.col("n") == F.col("size") - F.least("size", F.lit(shingle)) + 1)
-    found = stage(verified.select("row", "window", "size", "start"), "verified")
+    candidates = salted.join(dealt.join(sets, "window"), ["sh", "salt"]).select("row", "window", "salt", "size", (F.col("place") - F.col("p")).alias("start"), "set").where("start >= 0")
+    key = ["row", "window", "salt", "size", "start"]
+    asked = candidates.select(*key, F.explode("set").alias("x")).select(*key, (F.col("start") + F.col("x.p")).alias("place"), F.col("x.sh").alias("sh"))
+    verified = asked.join(places, ["row", "place", "sh"]).groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") == F.col("size") - F.least("size", F.lit(shingle)) + 1)
+    found = stage(verified.select(*key), "verified")
 
     covered = F.aggregate(
         F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("size")).alias("end")))),
@@ -156,7 +159,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
         lambda s: s["n"],
     )
     hits = found.groupBy("row").agg(covered.alias("n_hit"))
-    items = found.select("row", "window").distinct().join(windows.select("window", F.col("item_id").cast("string").alias("item")).distinct(), "window").groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    of_items = windows.select("window", F.col("item_id").cast("string").alias("item")).distinct().join(dealt.select("window", "salt"), "window")
+    items = found.select("row", "window", "salt").distinct().join(of_items, ["window", "salt"]).groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
     out = each.select("row", "doc_id", "n_words").join(hits, "row", "left").join(items, "row", "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"))
