@@ -383,6 +383,15 @@ def test_places_follow_the_order(spark):
     assert placed(df.limit(0), "v").count() == 0
 
 
+def test_written_sections_equal_the_wire_form(spark, tmp_path):
+    rows, base = (jsonl.from_rows(spark, r) for r in published())
+    s = build(Request("payments", 900, rows, base, 3600, 3600))
+    scalars, wire = s.write(str(tmp_path)), s.to_dict()
+    assert scalars == {k: wire[k] for k in scalars} and set(wire) - set(scalars) == {"patterns", "deltas", "timeline", "stackFingerprints", "correlations", "metricAnomalies", "infrastructureEvents", "grafanaReferences"}
+    for name in ("patterns", "deltas", "stackFingerprints"):
+        assert [r.fingerprint for r in spark.read.parquet(f"{tmp_path}/{name}").orderBy("place").collect()] == [x["fingerprint"] for x in wire[name]]
+
+
 def test_a_scope_deletes_what_it_staged(spark):
     import os
 

@@ -575,12 +575,13 @@ def incident_snapshot(spark, sf_dir):
         "stackFingerprints": ("fingerprint", ["count"]),
         "timeline": ("fingerprint", ["service", "summary", F.size("correlation_refs")]),
     }
+    folder = f"{shared_dir(spark)}/tracefold/snapshot-{uuid.uuid4().hex}"
+    whole = s.write(folder)
     rows = [
-        placed(table, *order).select(F.lit(name).alias("section"), "place", F.col(detail[name][0]).alias("id"), F.concat_ws("|", *(F.col(c).cast("string") if isinstance(c, str) else c.cast("string") for c in detail[name][1])).alias("detail"))
-        for name, (table, order) in s.sections().items()
+        spark.read.parquet(f"{folder}/{name}").select(F.lit(name).alias("section"), "place", F.col(detail[name][0]).alias("id"), F.concat_ws("|", *(F.col(c).cast("string") if isinstance(c, str) else c.cast("string") for c in detail[name][1])).alias("detail"))
+        for name in s.sections()
     ]
-    whole = s.to_dict()
-    totals = [whole["rawEventCount"], whole["compression"]["discoveredPatterns"], len(whole["patterns"]), whole["omittedPatternCount"], whole["compression"]["estimatedInputTokens"], whole["requiredTokens"], str(whole["incomplete"]).lower()]
+    totals = [whole["rawEventCount"], whole["compression"]["discoveredPatterns"], whole["compression"]["retainedPatterns"], whole["omittedPatternCount"], whole["compression"]["estimatedInputTokens"], whole["requiredTokens"], str(whole["incomplete"]).lower()]
     out = spark.createDataFrame([("totals", 1, whole["generatedAt"], "|".join(map(str, totals)))], "section string, place long, id string, detail string")
     for table in rows:
         out = out.unionByName(table)

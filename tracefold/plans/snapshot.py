@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import correlate, events as E, patterns as P
-from ..staging import stage
+from ..staging import placed, stage
 
 SCHEMA_VERSION = "incident-context/v1"
 # Tokens that the estimate takes for each entry of a section.
@@ -136,39 +136,52 @@ class Snapshot:
         }
         return out if self.deltas is None else out | {"deltas": (self.deltas.select(*_DELTA), ["template", "severity"])}
 
+    def write(self, folder: str) -> dict:
+        """Write the sections as tables with places under ``folder``, whatever their size; returns the scalars."""
+        sizes = {}
+        for name, (table, order) in self.sections().items():
+            placed(table, *order).write.mode("overwrite").parquet(f"{folder}/{name}")
+            sizes[name] = self.retained.sparkSession.read.parquet(f"{folder}/{name}").count()
+        r = self.request
+        sizes["timeline"] += len(r.markers) + len(r.anomalies) + len(r.infrastructure)
+        return self._scalars(sizes, self.retained.agg(F.coalesce(F.sum("cost"), F.lit(0))).first()[0])
+
     def to_dict(self) -> dict:
-        """The snapshot in wire form; what it collects is what it shows."""
+        """The snapshot in wire form; what it collects is what it shows, so large ones are for ``write``."""
         r = self.request
         tables = self.sections()
         shown = lambda name: [_wire(x) for x in tables[name][0].orderBy(*tables[name][1]).collect()] if name in tables else []
         patterns = shown("patterns")
         cost = sum(p.pop("cost") for p in patterns)
-        discovered = self.patterns.count()
-        deltas, stacks, groups = shown("deltas"), shown("stackFingerprints"), shown("correlations")
         timeline = sorted([*_side_entries(r), *(_entry(x) for x in self.entries.orderBy(*tables["timeline"][1]).collect())], key=lambda e: (e["timestamp"], e["kind"], e["service"]))
-        totals = self.totals.first()
-        sections = {"deltas": deltas, "timeline": timeline, "metricAnomalies": r.anomalies, "infrastructureEvents": r.infrastructure, "grafanaReferences": r.dashboards, "stackFingerprints": stacks, "correlations": groups}
-        tokens = P.ENVELOPE + cost + sum(SECTION_TOKENS[k] * len(v) for k, v in sections.items())
+        sections = {"patterns": patterns, "deltas": shown("deltas"), "timeline": timeline, "stackFingerprints": shown("stackFingerprints"), "correlations": shown("correlations")}
+        sections |= {"metricAnomalies": r.anomalies, "infrastructureEvents": r.infrastructure, "grafanaReferences": r.dashboards}
+        return self._scalars({k: len(v) for k, v in sections.items()}, cost) | sections
+
+    def _scalars(self, sizes: dict[str, int], cost: int) -> dict:
+        """All that is no list, from the sizes of the lists and the cost of the patterns."""
+        r = self.request
+        sizes = {"metricAnomalies": len(r.anomalies), "infrastructureEvents": len(r.infrastructure), "grafanaReferences": len(r.dashboards)} | sizes
+        discovered, kept = self.patterns.count(), sizes["patterns"]
+        totals, summary = self.totals.first(), self.summary.first()
+        tokens = P.ENVELOPE + cost + sum(SECTION_TOKENS[k] * n for k, n in sizes.items() if k in SECTION_TOKENS)
         times = [totals["last"], *(m["timestamp"] for m in r.markers), *(a["peakAt"] for a in r.anomalies), *(i["lastSeen"] for i in r.infrastructure)]
         moments = [aware(t, "timestamp") for t in times if t] or [datetime.now(timezone.utc)]
-        summary = self.summary.first()
         return {
             "schemaVersion": SCHEMA_VERSION,
             "scope": r.scope,
             "generatedAt": max(moments).astimezone(timezone.utc).isoformat().replace("+00:00", "Z"),
             "rawEventCount": totals["n"],
-            "incomplete": discovered > len(patterns) or any(not o["complete"] for o in r.observations),
-            "omittedPatternCount": discovered - len(patterns),
+            "incomplete": discovered > kept or any(not o["complete"] for o in r.observations),
+            "omittedPatternCount": discovered - kept,
             "tokenBudget": r.token_budget,
             "requiredTokens": tokens,
             "budgetExceeded": tokens > r.token_budget,
             "sources": r.observations,
             "sourceQueries": sum(o["queryCount"] for o in r.observations),
-            **sections,
             "correlationSummary": {_camel(k): v for k, v in summary.asDict().items()},
-            "patterns": patterns,
             "compression": {
-                "rawEvents": totals["n"], "discoveredPatterns": discovered, "retainedPatterns": len(patterns),
+                "rawEvents": totals["n"], "discoveredPatterns": discovered, "retainedPatterns": kept,
                 "estimatedInputTokens": totals["tokens"], "estimatedOutputTokens": tokens, "estimatedCompressionRatio": round(totals["tokens"] / max(1, tokens), 2),
             },
         }
