@@ -7,6 +7,7 @@ length, and no string of a special token.  All other rows go to the library.
 
 from __future__ import annotations
 
+import os
 import re
 
 import numpy as np
@@ -107,6 +108,8 @@ class Library:
     """A tokenizer file with what is needed to send it texts or single pre-tokens."""
 
     def __init__(self, path: str):
+        # a worker has one core; the library's threads would only wait for each other
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         special = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
         self.special = set(special)
