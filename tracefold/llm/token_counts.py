@@ -49,29 +49,33 @@ def hashed(tokens: list[bytes]) -> tuple[np.ndarray, Callable[[np.ndarray], list
 
 
 def _distinct(path: str):
+    """(token, n) of a task's pre-tokens; hashes in order tell which are held."""
+
     def run(batches):
-        seen: dict[int, int] = {}
-        tokens: list[bytes] = []
-        n = np.zeros(HELD, np.int64)
+        def nothing():
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), []
+
+        keys, at, n, tokens = nothing()
 
-        def flush():
-            out = pa.RecordBatch.from_arrays([pa.array(tokens, pa.binary()), pa.array(n[: len(tokens)].copy())], ["token", "n"])
-            seen.clear(), tokens.clear(), n.fill(0)
-            return out
+        def batch_of():
+            return pa.RecordBatch.from_arrays([pa.array(tokens, pa.binary()), pa.array(n)], ["token", "n"])
 
         for batch in batches:
             for _, h, of in cut(path, batch.column(0)):
                 u, first, count = np.unique(h, return_index=True, return_counts=True)
-                if len(tokens) + len(u) > len(n):
-                    yield flush()
-                    if len(u) > len(n):
-                        n = np.zeros(len(u), np.int64)
-                keys = u.tolist()
-                new = [i for i, k in enumerate(keys) if k not in seen]
-                seen.update(zip((keys[i] for i in new), range(len(tokens), len(tokens) + len(new))))
+                if len(keys) + len(u) > HELD and len(keys):
+                    yield batch_of()
+                    keys, at, n, tokens = nothing()
+                place = np.searchsorted(keys, u)
+                known = np.zeros(len(u), bool)
+                inside = place < len(keys)
+                known[inside] = keys[place[inside]] == u[inside]
+                n[at[place[known]]] += count[known]
+                new = np.flatnonzero(~known)
+                keys, at = np.insert(keys, place[new], u[new]), np.insert(at, place[new], np.arange(len(n), len(n) + len(new)))
+                n = np.concatenate((n, count[new]))
                 tokens += of(first[new])
-                n[[seen[k] for k in keys]] += count
-        yield flush()
+        yield batch_of()
 
     return run
 
