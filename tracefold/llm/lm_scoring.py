@@ -47,7 +47,7 @@ from .token_counts import joined, most_frequent
 HEAVY, ASIDE = 1 << 18, 32
 MOST_BITS, ENTRY_BITS, BLOCK_BITS, PIECE_BITS, PROBES = 1 << 28, 16, 512, 1 << 19, 8
 #: Keys a task holds before it hands on its counts, and tokens whose bigrams make a cell.
-HELD, HELD_PAIRS, CELL = 1 << 22, 3 << 20, 1 << 20
+HELD, HELD_PAIRS, CELL = 1 << 21, 1 << 20, 1 << 20
 
 _U = np.uint64
 SIGN = _U(1 << 63)
