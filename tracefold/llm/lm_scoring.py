@@ -20,8 +20,8 @@ joined by a shuffle, as are the hits of rare tokens, whose counts only the join
 P(w | h) = a(h) c(h, w) / c(h) + (1 - a(h)) (c(w) + 1) / (N + V + 1), so a text's
 score is the sum of its tokens' own parts, log (1 - a) (c + 1) / (N + V + 1) (each
 token is a history once), and of log (1 + a(h) c(h, w) / c(h) / ((1 - a(h)) P(w)))
-for each bigram.  One join brings both, in one shuffle with the
-rare tokens' counts; no key can be hot, as the frequent ones are in the broadcasts.
+for each bigram.  One lookup brings both: a task hands on the keys it cannot tell, packed by cell, and
+each cell's keys meet the cell's values in one call; no key can be hot, as the frequent ones are in the broadcasts.
 The weight a(h) depends on the size of c(h) and is fitted by expectation
 maximisation on one training text in ``ASIDE``, told by a hash of doc_id: for the fit their
 bigrams are not counted, afterwards they are.
@@ -36,18 +36,21 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import spans
 from .language_id import fold
 from .shared import in_arrow, share, stage
-from .token_counts import joined, most_frequent
+from .token_counts import most_frequent
 
 HEAVY, ASIDE = 1 << 18, 32
 MOST_BITS, ENTRY_BITS, BLOCK_BITS, PIECE_BITS, PROBES = 1 << 28, 16, 512, 1 << 19, 8
 #: Keys a task holds before it hands on its counts, and tokens whose bigrams make a cell.
 HELD, HELD_PAIRS, CELL = 1 << 21, 1 << 20, 1 << 20
+#: Texts that are handed on together.
+RUN = 1 << 14
 
 _U = np.uint64
 SIGN = _U(1 << 63)
@@ -410,45 +413,118 @@ def _with_counts(grams: DataFrame, counts: DataFrame, shared) -> DataFrame:
     return of(grams.where(~some_rare)).unionByName(rare)
 
 
-def score(docs: DataFrame, values: DataFrame, model: Model) -> DataFrame:
-    """doc_id, n_tokens, n_known, base_score and score of every row."""
-    shared = share(docs.sparkSession, model)
+_ASKED = ["cell", "run", "row", "doc_id", "n_tokens", "known", "base", "logs", "rows", "keys", "n"]
+
+
+def _asked(shared, cells: int):
+    """A row for each text with its own part of the scores; and by cell, packed, the keys that have to be looked up, with rows and times.
+
+    Texts and keys that are handed on together are a *run*.  Bigrams have negative times.
+    """
 
     def run(batches):
-        model = shared.value
+        from pyspark import TaskContext
+
+        name, model = TaskContext.get().partitionId() << 33, shared.value
+        texts, held, size = [], [], 0
+
+        def handed_on():
+            columns = [pa.concat_arrays([x.cast(t[0].type) if x.type != t[0].type else x for x in t]) for t in zip(*texts)]
+            n = len(columns[0])
+            at = [pa.array(np.full(n, cell_of(spans.mix(np.array([name], _U)), cells)[0])), pa.array(np.full(n, name)), pa.array(np.arange(n, dtype=np.int32))]
+            yield pa.RecordBatch.from_arrays([*at, *columns, *(pa.nulls(n, pa.binary()) for _ in range(3))], _ASKED)
+            if size:
+                row, key, times = (np.concatenate(x) for x in zip(*held))
+                order = np.argsort(key)
+                cell = cell_of(key[order], cells)
+                cuts = np.concatenate(([0], np.flatnonzero(np.diff(cell)) + 1, [len(cell)])).tolist()
+                m = len(cuts) - 1
+                blobs = [pa.array([x[order][i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:])], pa.binary()) for x in (row, key, times)]
+                nothing = [pa.nulls(m, t) for t in (pa.int32(), columns[0].type, pa.int64(), pa.int64(), pa.float64(), pa.float64())]
+                yield pa.RecordBatch.from_arrays([pa.array(cell[cuts[:-1]]), pa.array(np.full(m, name)), *nothing, *blobs], _ASKED)
+
         for batch in batches:
-            size = np.zeros((2, batch.num_rows), np.int64)
-            sums = np.zeros((2, batch.num_rows))
-            rows, keys, ns = [np.zeros(0, np.int64)], [np.zeros(0, _U)], [np.zeros(0, np.int64)]
+            before = sum(len(t[0]) for t in texts)
+            counts, sums = np.zeros((2, batch.num_rows), np.int64), np.zeros((2, batch.num_rows))
             for first, offsets, h in tokens(batch.column(1)):
                 n_rows = len(offsets) - 1
                 row = np.repeat(np.arange(n_rows), np.diff(offsets))
                 found, logs, base, rest, pair = model.look(h, offsets)
                 at = slice(first, first + n_rows)
-                for out, x in ((size[0], None), (size[1], found.astype(float)), (sums[0], base), (sums[1], logs)):
+                for out, x in ((counts[0], None), (counts[1], found.astype(float)), (sums[0], base), (sums[1], logs)):
                     out[at] = np.bincount(row, x, n_rows)
-                # bigrams have negative numbers
-                words, others = spans.counted(row[~found], h[~found]), spans.counted(row[rest], pair)
-                r = np.concatenate((words[0], others[0]))
-                order = np.argsort(r, kind="stable")
-                rows.append(first + r[order])
-                keys.append(np.concatenate((words[1], others[1]))[order])
-                ns.append(np.concatenate((words[2], -others[2]))[order])
-            row = np.concatenate(rows)
-            rest = spans.lists(row, batch.num_rows, np.concatenate(keys).view(np.int64), np.concatenate(ns).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, (*size, *sums)), *rest], ["doc_id", "n_tokens", "known", "base", "logs", "h", "n"])
+                for sign, (r, key, n) in ((1, spans.counted(row[~found], h[~found])), (-1, spans.counted(row[rest], pair))):
+                    if len(r):
+                        held.append(((before + first + r).astype(np.int32), key, (sign * n).astype(np.int32)))
+                        size += len(r)
+            texts.append([batch.column(0), *map(pa.array, (*counts, *sums))])
+            if size > HELD // 2 or before > RUN:
+                yield from handed_on()
+                name, texts, held, size = name + 1, [], [], 0
+        if texts:
+            yield from handed_on()
+
+    return run
+
+
+def _answered(shared):
+    """Texts as they are, and for each run with keys in this cell the sums that they make, packed."""
 
+    def run(values, asked):
+        model = shared.value
+        own = asked.filter(pc.is_null(asked["keys"])).drop_columns(["cell", "keys", "n"])
+        asked = asked.filter(pc.is_valid(asked["keys"]))
+        zero = lambda c: np.nan_to_num(values[c].to_numpy().astype(float))
+        known = spans.Lookup(values["h"].to_numpy(), zero("c"), zero("more"))
+        out = []
+        for row, key, n in zip(*(asked[c].to_pylist() for c in ("rows", "keys", "n"))):
+            n = np.frombuffer(n, np.int32).astype(float)
+            at, found = known.find(np.frombuffer(key, _U))
+            c, more = (np.where(found, x[at] if len(x) else 0.0, 0.0) for x in known.values)
+            word = n > 0
+            one = np.log10((c + 1) / (model.n + model.v + 1))
+            rows, back = np.unique(np.frombuffer(row, np.int32), return_inverse=True)
+            each = (np.where(word & (c > 0), n, 0), np.where(word, n * one, 0), np.where(word, n * (one + np.log10(1 - model.weights[bucket_of(c)])), -n * more))
+            out.append([rows.tobytes(), *(np.bincount(back, x, len(rows)).tobytes() for x in each)])
+        sums = [pa.array([x[k] for x in out], pa.binary()) for k in range(4)]
+        nothing = lambda n: [pa.nulls(n, pa.binary())] * 3
+        first = pa.table([*own.combine_chunks().columns, *nothing(len(own))], names=_ANSWERED)
+        second = pa.table([asked["run"], *(pa.nulls(len(out), first.schema.field(x).type) for x in _ANSWERED[1:7]), *sums], schema=first.schema)
+        return pa.concat_tables([first, second])
+
+    return run
+
+
+_ANSWERED = ["run", "row", "doc_id", "n_tokens", "known", "base", "logs", "rows", "rest_known", "rest", "more"]
+
+
+def _scored(table: pa.Table) -> pa.Table:
+    """The scores of a run's texts."""
+    texts = table.filter(pc.is_valid(table["row"])).sort_by("row")
+    sums = np.zeros((3, len(texts)))
+    for rows, *parts in zip(*(table[c].to_pylist() for c in _ANSWERED[7:])):
+        if rows is not None:
+            rows = np.frombuffer(rows, np.int32)
+            for total, part in zip(sums, parts):
+                total[rows] += np.frombuffer(part, float)
+    number = lambda c: texts[c].to_numpy()
+    return pa.table({
+        "doc_id": texts["doc_id"], "n_tokens": texts["n_tokens"], "n_known": pa.array(number("known") + sums[0].astype(np.int64)),
+        "base_score": pa.array(number("base") + sums[1]), "score": pa.array(number("logs") + sums[2]),
+    })
+
+
+def score(docs: DataFrame, values: DataFrame, model: Model) -> DataFrame:
+    """doc_id, n_tokens, n_known, base_score and score of every row."""
+    shared = share(docs.sparkSession, model)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    each = docs.select("doc_id", "text").transform(in_arrow, run, f"doc_id {kind}, n_tokens long, known long, base double, logs double, h array<long>, n array<int>")
-    n, c = F.col("n"), F.coalesce("c", F.lit(0))
-    one = F.log10((c + 1) / F.lit(float(model.n + model.v + 1)))
-    sums = {
-        "rest_known": F.coalesce(F.sum(F.when((n > 0) & (c > 0), n)), F.lit(0)),
-        "rest": F.coalesce(F.sum(F.when(n > 0, n * one)), F.lit(0.0)),
-        "more": F.coalesce(F.sum(F.when(n > 0, n * (one + F.log10(1 - model.weight(c)))).when(n < 0, -n * F.coalesce("more", F.lit(0.0)))), F.lit(0.0)),
-    }
-    found = joined(each, values, ["doc_id", "n_tokens", "known", "base", "logs"], sums)
-    return found.select("doc_id", "n_tokens", (F.col("known") + F.col("rest_known")).alias("n_known"), (F.col("base") + F.col("rest")).alias("base_score"), (F.col("logs") + F.col("more")).alias("score"))
+    cells = max(1, model.n // (4 * CELL))
+    texts = f"row int, doc_id {kind}, n_tokens long, known long, base double, logs double, rows binary"
+    asked = docs.select("doc_id", "text").transform(in_arrow, _asked(shared, cells), f"cell long, run long, {texts}, keys binary, n binary")
+    cell = F.shiftright(F.shiftrightunsigned("h", 32) * F.lit(cells).cast("long"), 32)
+    told = values.withColumn("cell", cell).groupBy("cell").cogroup(asked.groupBy("cell"))
+    each = told.applyInArrow(_answered(shared), f"run long, {texts}, rest_known binary, rest binary, more binary")
+    return each.groupBy("run").applyInArrow(_scored, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
 
 
 def lm_scores(docs: DataFrame, **options) -> DataFrame:
