@@ -48,7 +48,7 @@ from .token_counts import most_frequent
 HEAVY, ASIDE = 1 << 18, 32
 MOST_BITS, ENTRY_BITS, BLOCK_BITS, PIECE_BITS, PROBES = 1 << 28, 16, 512, 1 << 19, 8
 #: Keys a task holds before it hands on its counts, and tokens whose bigrams make a cell.
-HELD, HELD_PAIRS, CELL = 1 << 21, 1 << 20, 1 << 20
+HELD, HELD_PAIRS, CELL = 1 << 20, 1 << 20, 1 << 20
 #: Texts that are handed on together.
 RUN = 1 << 14
 
@@ -518,7 +518,7 @@ def score(docs: DataFrame, values: DataFrame, model: Model) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score and score of every row."""
     shared = share(docs.sparkSession, model)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    cells = max(1, model.n // (4 * CELL))
+    cells = max(1, model.n // (2 * CELL))
     texts = f"row int, doc_id {kind}, n_tokens long, known long, base double, logs double, rows binary"
     asked = docs.select("doc_id", "text").transform(in_arrow, _asked(shared, cells), f"cell long, run long, {texts}, keys binary, n binary")
     cell = F.shiftright(F.shiftrightunsigned("h", 32) * F.lit(cells).cast("long"), 32)
