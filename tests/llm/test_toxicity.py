@@ -125,3 +125,44 @@ def test_long_texts_are_calibrated_on(spark):
     df = spark.createDataFrame(docs + long, "doc_id long, text string, lang string")
     got = T.toxicity(df, spark.createDataFrame(labels + [(k, 0) for k, _, _ in long], "doc_id long, toxic int")).where("doc_id >= 10000").collect()
     assert np.mean([r.predicted for r in got]) <= 0.1
+
+
+def aside(spark, n):
+    """Which of the ids 0 to n are left out of the fit."""
+    from pyspark.sql import functions as F
+
+    return {r.id for r in spark.range(n).where(F.pmod(F.xxhash64(F.xxhash64(F.col("id").cast("string")), F.lit(2)), F.lit(4)) == 0).collect()}
+
+
+def test_every_labelled_text_is_learned(spark):
+    """Over 4,000 toxic, over 8,000 clean and very long texts: each word that two fitted texts share is known, and all shards' passes come together."""
+    rng = random.Random(3)
+    n, docs = 16_000, []
+    for k in range(n):
+        words = [f"pair{k // 2}", *(f"w{int(rng.paretovariate(0.7))}" for _ in range(rng.randint(5, 15)))]
+        docs.append((k, " ".join(words + ["vile"] * (k % 14 < 5)), "en"))
+    labels = [(k, int(k % 14 < 5)) for k in range(n)]
+    docs += [(n + k, "word " * 5000 + "endless", "en") for k in range(8)]
+    labels += [(n + k, 0) for k in range(8)]
+    df, given = spark.createDataFrame(docs, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = T.train(df.repartition(3), given)
+    known, out = set(model.ids.tolist()), aside(spark, n + 8)
+    bucket = lambda w: int(spans.hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w)]))[0]) % T.BUCKETS
+    assert all(bucket(f"pair{k // 2}") in known for k in range(0, n, 2) if not {k, k + 1} & out)
+    assert bucket("endless") in known
+    got = {r.doc_id: r.score for r in T.score(df, model).collect()}
+    assert np.mean([(got[k] >= 0.5) == y for k, y in labels]) > 0.99
+    again = T.train(df.repartition(7), given)
+    assert (again.p["e"] == model.p["e"]).all() and (again.scale, again.shift, again.thresholds) == (model.scale, model.shift, model.thresholds)
+
+
+def test_cells_choose_the_cut_of_a_plain_search(spark):
+    rng = np.random.default_rng(2)
+    rows = [(str(rng.choice(["en", "de"])), int(y), bool(rng.random() < 0.5), int(rng.normal(600 * y, 700)), int(rng.integers(1, 4))) for y in rng.integers(0, 2, 400)]
+    cells = spark.createDataFrame(rows, "lang string, toxic int, second boolean, cell int, n long")
+    model = T.Classifier(np.arange(5), np.ones(5), np.random.default_rng(0))
+    got = T._thresholds(cells, model, 20)
+    for lang in ("en", "de"):
+        mine = [(c, y, n) for g, y, _, c, n in rows if g == lang]
+        f1 = lambda cut: 2 * sum(n for c, y, n in mine if y and c >= cut) / (sum(n for c, _, n in mine if c >= cut) + sum(n for _, y, n in mine if y))
+        assert abs(f1(max(f1s := {c for c, _, _ in mine}, key=f1)) - f1(min((c for c in f1s if model.score(np.array(c / T.CELLS)) >= got[lang])))) < 1e-12
