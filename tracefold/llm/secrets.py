@@ -10,12 +10,15 @@ The network learns from labelled findings.  Candidates of the corpus are finding
 where a rule or a well-known credential form (``FORMS``) says so, and are not
 where their form alone shows it (``plain``: numbers, dates, words joined by
 marks); all others have no label and are not learned from, so credentials that
-nobody has labelled are never taught as harmless.  About ``sample`` distinct
-candidates are drawn by hash, at a rate that a sketch of their number sets; generated
-findings of known forms and look-alikes come with them.  A half of the findings held
-out of the fit calibrates the output to a probability, on the other half the
-threshold is set: the largest probability that keeps ``recall`` of the positive
-findings, whatever the negative ones score.
+nobody has labelled are never taught as harmless.  Every distinct labelled
+candidate is learned from: they are dealt by hash to shards of about ``SHARD``, each with
+``made`` generated findings of known forms and look-alikes, and the network is trained in
+``rounds``, each a pass over all of them.  A third of the findings is held out of the fit; a half of it
+calibrates the output to a probability, on the other half the
+threshold is set: the largest probability that keeps ``recall`` of the corpus's positive
+findings and of the generated ones, so that neither make up for the others, whatever the negative ones score.
+What is kept of ``n`` held-out findings is more than ``recall`` by ``SURE`` standard errors of a share
+of ``n``, so that few of them do not leave recall on unseen ones to chance; with many that is ``recall`` itself.  Both count every finding, in cells of 1/``CELLS`` of a logit.
 
 Edge cases: null or empty texts have no spans; texts are scanned whole, however
 long; a candidate longer than the network's width is scored in overlapping
@@ -25,6 +28,7 @@ gives an empty table; other columns are ignored.
 
 from __future__ import annotations
 
+import copy
 import hashlib
 import re
 
@@ -34,8 +38,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import spans
-from .shared import in_arrow, share
+from . import rounds, spans
+from .shared import in_arrow, share, stage
 
 # The rules' kinds, patterns, and the least length of what counts in a match.
 RULES = (
@@ -59,6 +63,12 @@ _WORDS = re.compile(rb"(?:[./_=+-]+|[A-Z]?[a-z]{2,}|[A-Z]{2,}(?![a-z])|(?<![0-9]
 _DIGITS = re.compile(rb"[0-9]+")
 MOST_NUMBERS = 3
 
+#: Findings of a shard, of a pass's sums; cells of a logit, and the largest logit told apart.
+SHARD = 8000
+CELLS, MOST = 1024, 128
+#: Standard errors of a one-sided 95 % bound.
+SURE = 1.645
+
 SHORTEST, CHANGES = 16, 4
 BEFORE, AFTER, INSIDE = 24, 8, 64
 WIDTH = BEFORE + INSIDE + AFTER
@@ -122,6 +132,23 @@ class Network:
         for w in widths:
             self.p[f"w{w}"] = rng.normal(0, 1 / np.sqrt(w * dim), (w, dim, filters))
             self.p[f"c{w}"] = np.zeros(filters)
+        # what Adam keeps
+        self.m, self.v = ({k: np.zeros_like(x) for k, x in self.p.items()} for _ in range(2))
+        self.steps = np.zeros(1)
+
+    def _parts(self) -> list[np.ndarray]:
+        return [*(part[k] for part in (self.p, self.m, self.v) for k in self.p), self.steps]
+
+    def state(self) -> np.ndarray:
+        """All that training changes."""
+        return rounds.packed(self._parts(), 8, np.float64)
+
+    def restored(self, state: np.ndarray) -> Network:
+        """This network in another state."""
+        out, names, parts = copy.copy(self), list(self.p), rounds.unpacked(state, self._parts())
+        out.p, out.m = (dict(zip(names, parts[k * len(names) :])) for k in range(2))
+        out.v, out.steps = {k: np.maximum(x, 0) for k, x in zip(names, parts[2 * len(names) :])}, parts[-1]
+        return out
 
     def _pool(self, x: np.ndarray):
         """For each width the largest and the mean response, with the largest's place."""
@@ -139,18 +166,16 @@ class Network:
     def logits(self, x: np.ndarray, size: int = 256) -> np.ndarray:
         return np.concatenate([np.zeros(0), *(self._features(self._pool(x[k : k + size])) @ self.p["o"] + self.p["b"] for k in range(0, len(x), size))])
 
-    def fit(self, x: np.ndarray, y: np.ndarray, rng: np.random.Generator, epochs: int = 6, batch: int = 64, rate: float = 0.004) -> None:
-        m = {k: np.zeros_like(v) for k, v in self.p.items()}
-        v = {k: np.zeros_like(p) for k, p in self.p.items()}
-        step = 0
-        for _ in range(epochs):
-            order = rng.permutation(len(x))
-            for at in range(0, len(x), batch):
-                step += 1
-                for key, g in self._gradient(x[order[at : at + batch]], y[order[at : at + batch]]).items():
-                    m[key] = 0.9 * m[key] + 0.1 * g
-                    v[key] = 0.999 * v[key] + 0.001 * g * g
-                    self.p[key] = self.p[key] - rate * (m[key] / (1 - 0.9**step)) / (np.sqrt(v[key] / (1 - 0.999**step)) + 1e-8)
+    def fit(self, x: np.ndarray, y: np.ndarray, rng: np.random.Generator, batch: int = 64, rate: float = 0.004) -> None:
+        """A pass of Adam over shuffled batches."""
+        order = rng.permutation(len(x))
+        for at in range(0, len(x), batch):
+            self.steps += 1
+            step = float(self.steps[0])
+            for key, g in self._gradient(x[order[at : at + batch]], y[order[at : at + batch]]).items():
+                self.m[key] = 0.9 * self.m[key] + 0.1 * g
+                self.v[key] = 0.999 * self.v[key] + 0.001 * g * g
+                self.p[key] = self.p[key] - rate * (self.m[key] / (1 - 0.9**step)) / (np.sqrt(self.v[key] / (1 - 0.999**step)) + 1e-8)
 
     def _gradient(self, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         pooled = self._pool(x)
@@ -234,34 +259,48 @@ def _label_windows(findings: list[tuple[str, str, str, int]]) -> tuple[np.ndarra
     return x[one], np.array([f[3] for f in findings])
 
 
-def _hashes(batches):
-    """A hash of each candidate; a repeated finding has one hash."""
+def _findings(batches):
+    """(hash, window, label) of the labelled candidates; a repeated finding has one hash."""
     for batch in batches:
         for _, data, offsets in spans.blocks(batch.column(0)):
-            yield pa.RecordBatch.from_arrays([pa.array(spans.hashes(data, *candidates(data, offsets)).view(np.int64))], ["h"])
+            a, b = candidates(data, offsets)
+            if not len(a):
+                continue
+            found = _covered(data, offsets, a, b) | _formed(data, a, b)
+            known = found | np.array([plain(data[x:y].tobytes()) for x, y in zip(a, b)], bool)
+            x, which = windows(data, offsets, a, b)
+            one = np.unique(which, return_index=True)[1][known]
+            yield pa.RecordBatch.from_arrays([pa.array(spans.hashes(data, a, b)[known].view(np.int64)), pa.array([w.tobytes() for w in x[one].astype(np.uint8)], pa.binary()), pa.array(found[known].astype(np.int32))], ["h", "window", "label"])
 
 
-def _sampled(share: float):
-    """(hash, window, label) of the labelled candidates with a hash in the first ``share`` of all."""
-    below = np.uint64(min(2**64 - 1, int(share * 2.0**64)))
+def _made(made: int, seed: int):
+    """The generated findings of each shard."""
 
     def run(batches):
         for batch in batches:
-            for _, data, offsets in spans.blocks(batch.column(0)):
-                a, b = candidates(data, offsets)
-                h = spans.hashes(data, a, b)
-                a, b, h = (x[h <= below] for x in (a, b, h))
-                if not len(a):
-                    continue
-                found = _covered(data, offsets, a, b) | _formed(data, a, b)
-                known = found | np.array([plain(data[x:y].tobytes()) for x, y in zip(a, b)], bool)
-                x, which = windows(data, offsets, a, b)
-                one = np.unique(which, return_index=True)[1][known]
-                yield pa.RecordBatch.from_arrays([pa.array(h[known].view(np.int64)), pa.array([w.tobytes() for w in x[one].astype(np.uint8)], pa.binary()), pa.array(found[known].astype(np.int32))], ["h", "window", "label"])
+            for shard in batch.column(0).to_pylist():
+                x, y = _label_windows(generated(np.random.default_rng((seed, shard)), made))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(y), shard, np.int32)), pa.array(shard * made + np.arange(len(y))), pa.array([w.tobytes() for w in x.astype(np.uint8)], pa.binary()), pa.array(y.astype(np.int32))], ["shard", "h", "window", "label"])
 
     return run
 
 
+def _seen(column: pa.Array) -> np.ndarray:
+    return np.array([np.frombuffer(w.as_py(), np.uint8) for w in column], np.int64).reshape(-1, WIDTH)
+
+
+def _pass(shared, seed: int):
+    """A shard's pass over its findings."""
+
+    def learn(state, k, shard, batches):
+        network, got = shared.value.restored(state), list(batches)
+        x, y = np.concatenate([_seen(b.column(1)) for b in got]), np.concatenate([b.column(2).to_numpy() for b in got])
+        network.fit(x, y.astype(float), np.random.default_rng((seed, k, shard)))
+        return network.state()
+
+    return learn
+
+
 def plain(candidate: bytes) -> bool:
     """Whether the form alone shows that it is no credential."""
     if _NUMBERS.fullmatch(candidate):
@@ -274,15 +313,17 @@ def _covered(data: np.ndarray, offsets: np.ndarray, a: np.ndarray, b: np.ndarray
     """Which candidates meet a base span."""
     out = np.zeros(len(a), bool)
     row = spans.rows_of(offsets, a)
-    for r in np.unique(row):
-        raw = data[offsets[r] : offsets[r + 1]].tobytes()
-        text = raw.decode()
-        base = base_spans(text)
+    raws = {int(r): data[offsets[r] : offsets[r + 1]].tobytes() for r in np.unique(row)}
+    may = np.asarray(pc.match_substring_regex(pa.array([raw.decode() for raw in raws.values()], pa.large_string()), _MAY_MATCH))
+    for r, raw in (one for one, some in zip(raws.items(), may) if some):
+        base = base_spans(raw.decode())
         if base:
             to_byte = _byte_places(raw)
-            for k in np.flatnonzero(row == r):
-                low, high = a[k] - offsets[r], b[k] - offsets[r]
-                out[k] = any(to_byte[s] < high and low < to_byte[e] for s, _, e in base)
+            begin, end = (to_byte[[s[at] for s in base]] for at in (0, 2))
+            # a candidate meets a span if the furthest end of those that begin before its end is behind its begin
+            furthest = np.append(-1, np.maximum.accumulate(end))
+            own = slice(*np.searchsorted(row, [r, r + 1]))
+            out[own] = furthest[np.searchsorted(begin, b[own] - offsets[r])] > a[own] - offsets[r]
     return out
 
 
@@ -304,7 +345,10 @@ class Scanner:
 
     def probability(self, x: np.ndarray) -> np.ndarray:
         """The calibrated probability that each window holds a credential."""
-        return 1 / (1 + np.exp(-np.clip(self.scale * self.network.logits(x) + self.shift, -40, 40)))
+        return self.chance(self.network.logits(x))
+
+    def chance(self, logits: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.scale * logits + self.shift, -40, 40)))
 
     def scan(self, column: pa.Array) -> list[list[tuple[int, int, int]]]:
         """Base and added spans of each text as (start, rank of the kind, end), in code points."""
@@ -333,43 +377,65 @@ class Scanner:
         return out
 
 
-def calibrated(logits: np.ndarray, y: np.ndarray, rounds: int = 100) -> tuple[float, float]:
-    """Scale and shift of the logits by logistic regression, with labels drawn in a little so that none is certain."""
+def calibrated(logits: np.ndarray, y: np.ndarray, n: np.ndarray, rounds: int = 100) -> tuple[float, float]:
+    """Scale and shift of the logits, each seen ``n`` times, by logistic regression, with labels drawn in a little so that none is certain."""
     scale, shift = 1.0, 0.0
-    target = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
+    positive, negative = (n * y).sum(), (n * (1 - y)).sum()
+    target = np.where(y == 1, (positive + 1) / (positive + 2), 1 / (negative + 2))
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(scale * logits + shift, -40, 40)))
-        r, s = p - target, p * (1 - p) + 1e-9
+        r, s = n * (p - target), n * (p * (1 - p) + 1e-9)
         h = np.array([[(s * logits**2).sum() + 1e-3, (s * logits).sum()], [(s * logits).sum(), s.sum() + 1e-3]])
         move = np.linalg.solve(h, [(r * logits).sum(), r.sum()])
         scale, shift = max(0.01, scale - 0.5 * float(move[0])), shift - 0.5 * float(move[1])
     return scale, shift
 
 
-def train(docs: DataFrame, sample: int = 8000, made: int = 4000, recall: float = 0.95, seed: int = 7) -> Scanner:
-    """Fit the network, calibrate it and set its threshold from labelled findings."""
-    rng = np.random.default_rng(seed)
-    texts = docs.select("text")
-    n = texts.transform(in_arrow, _hashes, "h long").agg(F.approx_count_distinct("h")).first()[0]
-    # of a repeated finding the largest line is taken, so that every run draws the same
-    found = texts.transform(in_arrow, _sampled(min(1.0, sample / max(1, n))), "h long, window binary, label int")
-    drawn = found.groupBy("h").agg(F.max(F.struct("label", "window")).alias("x")).select("h", "x.*").orderBy("h").toArrow()
-    x, y = _label_windows(generated(rng, made))
-    if len(drawn):
-        x = np.concatenate((x, np.array([np.frombuffer(w, np.uint8) for w in drawn["window"].to_pylist()], np.int64)))
-        y = np.concatenate((y, drawn["label"].to_numpy()))
-    order = rng.permutation(len(x))
-    held, fit = order[: len(x) // 3], order[len(x) // 3 :]
-    network = Network(rng)
-    network.fit(x[fit], y[fit].astype(float), rng)
+def _cells(rows: DataFrame, network: Network) -> pa.Table:
+    """How many of the rows (window, label, second, made) have a logit in each cell, named by its least logit."""
+    shared = share(rows.sparkSession, network)
+
+    def run(batches):
+        for batch in batches:
+            cell = np.floor(np.clip(shared.value.logits(_seen(batch.column(0))), -MOST, MOST) * CELLS).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(cell)], ["label", "second", "made", "cell"])
+
+    found = rows.select("window", "label", "second", "made").transform(in_arrow, run, "label int, second boolean, made boolean, cell int")
+    return found.groupBy("label", "second", "made", "cell").agg(F.count("*").alias("n")).orderBy("label", "second", "made", "cell").toArrow()
+
+
+def train(docs: DataFrame, made: int = 4000, recall: float = 0.95, seed: int = 7, passes: int = 6) -> Scanner:
+    """Fit the network, calibrate it and set its threshold from all labelled findings."""
+    spark = docs.sparkSession
+    # of a repeated finding the largest line is taken, so that every run learns the same
+    found = docs.select("text").transform(in_arrow, _findings, "h long, window binary, label int")
+    found = stage(found.groupBy("h").agg(F.max(F.struct("label", "window")).alias("x")).select("h", "x.*"), "secret_findings")
+    shards = max(1, -(-found.count() // SHARD))
+    part = lambda salt, n: F.pmod(F.xxhash64("h", F.lit(salt)), F.lit(n))
+    own = spark.range(shards).transform(in_arrow, _made(made, seed), "shard int, h long, window binary, label int")
+    both = found.withColumns({"shard": part(1, shards).cast("int"), "made": F.lit(False)}).unionByName(own.withColumn("made", F.lit(True)))
+    both = both.withColumns({"held": part(2, 3) == 0, "second": part(3, 2) == 0})
+    staged = stage(rounds.sharded(both, shards, "h", "window", "label"), "secret_shards")
+    network = Network(np.random.default_rng(seed))
+    fit = staged.where("not held").select("shard", "window", "label")
+    network = network.restored(rounds.merged(fit, network.state(), _pass(share(spark, network), seed), passes))
     scanner = Scanner(network, 1.0, 0.0, 0.5, 1.0)
-    first, second = held[::2], held[1::2]
-    if 0 < y[first].sum() < len(first):
-        scanner.scale, scanner.shift = calibrated(network.logits(x[first]), y[first])
-    positive = np.sort(scanner.probability(x[second][y[second] == 1]))
-    if len(positive):
-        scanner.threshold = float(positive[int((1 - recall) * len(positive))])
-        scanner.recall = float((positive >= scanner.threshold).mean())
+    cells = _cells(staged.where("held"), network)
+    y, second, n = cells["label"].to_numpy(), cells["second"].to_numpy(), cells["n"].to_numpy()
+    cell = cells["cell"].to_numpy() / CELLS
+    if len(set(y[~second])) == 2:
+        scanner.scale, scanner.shift = calibrated(cell[~second], y[~second], n[~second])
+    kept = []
+    for made_too in (False, True):
+        chosen = second & (y == 1) & (cells["made"].to_numpy() == made_too)
+        if chosen.any():
+            # cells are in order: the last one from which as many positive findings follow as recall asks for
+            following = np.cumsum(n[chosen][::-1])[::-1]
+            least = min(1.0, recall + SURE * np.sqrt(recall * (1 - recall) / following[0]))
+            k = int(np.flatnonzero(following >= least * following[0])[-1])
+            kept.append((float(scanner.chance(cell[chosen][k])), float(following[k] / following[0])))
+    if kept:
+        scanner.threshold, scanner.recall = (min(x) for x in zip(*kept))
     return scanner
 
 
